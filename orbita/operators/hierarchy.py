@@ -27,37 +27,47 @@ def _linked(df: DataFrame, id_col: str, parent_col: str, run_col: str) -> DataFr
 
 
 def _climb(linked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(id, root, depth)`` of the nodes of trees, and ``(id, ptr)`` of those that never end."""
-    state = cut(
-        linked.select(
-            "id", F.when(F.col("up").isNull(), F.col("id")).alias("root"), F.when(F.col("up").isNull(), F.lit(0)).alias("depth"), F.col("up").alias("ptr"),
-        )
-    )
+    """``(id, root, depth)`` of the nodes of trees, and ``(id, ptr)`` of those that never end.
+
+    ``ptr`` is the ancestor ``stride`` levels up of a node not yet reached, null once it is."""
+    top = F.col("up").isNull()
+    done = linked.where(top).select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
+    waiting = linked.where(~top).select("id", F.col("up").alias("ptr"))
     stride = 1
     while True:
-        waiting = state.where(F.col("root").isNull()).select("id", "ptr")
-        target = state.select(F.col("id").alias("ptr"), F.col("root").alias("t_root"), F.col("depth").alias("t_depth"), F.col("ptr").alias("t_ptr"))
-        step = cut(waiting.join(target, "ptr").select("id", F.col("t_root").alias("root"), (F.col("t_depth") + stride).alias("depth"), F.col("t_ptr").alias("ptr")))
-        reached, left = step.agg(F.count("root"), F.count(F.when(F.col("root").isNull(), 1))).first()
-        state = state.where(F.col("root").isNotNull()).unionByName(step)
-        if not reached or not left:
-            return state.where(F.col("root").isNotNull()).select("id", "root", "depth"), state.where(F.col("root").isNull()).select("id", "ptr")
+        reached = waiting.join(done.select(F.col("id").alias("ptr"), "root", (F.col("depth") + stride).alias("depth")), "ptr", "left").select("id", "ptr", "root", "depth")
+        reached = cut(reached)
+        n, left = reached.agg(F.count("root"), F.count(F.when(F.col("root").isNull(), 1))).first()
+        done = _narrow(done.unionByName(reached.where(F.col("root").isNotNull()).select("id", "root", "depth")))
+        waiting = reached.where(F.col("root").isNull()).select("id", "ptr")
+        if not n or not left:
+            return done, waiting
+        # Their ancestors had no root before this round either, so each of them has a pointer.
+        waiting = waiting.join(reached.select(F.col("id").alias("ptr"), F.col("ptr").alias("next")), "ptr").select("id", F.col("next").alias("ptr"))
         stride *= 2
 
 
+def _narrow(df: DataFrame) -> DataFrame:
+    """A union of many small checkpoints in no more tasks than a shuffle has."""
+    return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _paths(tree: DataFrame) -> DataFrame:
-    """``id, up, root, depth, run`` of tree nodes with ``path`` added, by doubling segments."""
+    """``id, root, run, depth`` and ``path`` of tree nodes, by doubling segments: in each round the
+    nodes of depth below ``stride`` have their whole path, the others the last ``stride`` ids."""
     keep = cut(tree.select("id", "root", "depth", "run", "up"))
-    state = keep.select("id", "depth", F.col("up").alias("ptr"), F.col("id").cast("string").alias("path"))
+    done = keep.where(F.col("up").isNull()).select("id", F.col("id").cast("string").alias("path"))
+    part = keep.where(F.col("up").isNotNull()).select("id", "depth", F.col("up").alias("ptr"), F.col("id").cast("string").alias("path"))
     deepest = keep.agg(F.max("depth")).first()[0] or 0
     stride = 1
     while stride <= deepest:
-        waiting = state.where(F.col("depth") >= stride)
-        target = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("t_ptr"), F.col("path").alias("t_path"))
-        longer = waiting.join(target, "ptr").select("id", "depth", F.col("t_ptr").alias("ptr"), F.concat_ws("/", "t_path", "path").alias("path"))
-        state = cut(state.where(F.col("depth") < stride).unionByName(longer))
+        table = done.select(F.col("id").alias("ptr"), F.col("path").alias("above"), F.lit(None).cast(keep.schema["id"].dataType).alias("next"))
+        table = table.unionByName(part.select(F.col("id").alias("ptr"), F.col("path").alias("above"), F.col("ptr").alias("next")))
+        longer = cut(part.join(table, "ptr").select("id", "depth", F.col("next").alias("ptr"), F.concat_ws("/", "above", "path").alias("path")))
         stride *= 2
-    return keep.select("id", "root", "run", "depth").join(state.select("id", "path"), "id")
+        done = _narrow(done.unionByName(longer.where(F.col("depth") < stride).select("id", "path")))
+        part = longer.where(F.col("depth") >= stride)
+    return keep.select("id", "root", "run", "depth").join(done, "id")
 
 
 def _on_cycle(endless: DataFrame, linked: DataFrame) -> DataFrame:
@@ -73,8 +83,8 @@ def _on_cycle(endless: DataFrame, linked: DataFrame) -> DataFrame:
         if image == before:
             return jump.select(F.col("ptr").alias("id")).distinct()
         before = image
-        target = jump.select(F.col("id").alias("ptr"), F.col("ptr").alias("t_ptr"))
-        jump = cut(jump.join(target, "ptr").select("id", F.col("t_ptr").alias("ptr")))
+        table = jump.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"))
+        jump = cut(jump.join(table, "ptr").select("id", F.col("next").alias("ptr")))
 
 
 def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", run_col: str = "run_id") -> DataFrame:
