@@ -16,10 +16,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orbita.functions.runtime import cut
 
@@ -81,19 +81,38 @@ def _write(value, out: list[str]) -> None:
         out.append(_plain(value) if type(value) is str else {True: "true", False: "false", None: "null"}[value])
 
 
-def _json_digest(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None or (form := json_form(t)) is None else hashlib.sha256(b"{" + form.encode("utf-8", "replace")).digest())
+_BLANKS = " \t\r\n"
+_DROP = bytes(b for b in range(256) if not chr(b).isalnum() or b > 127)
+_LOWER = bytes(range(256)).lower()
 
 
-def with_canonical_digest(df: DataFrame, source_col: str, name: str) -> DataFrame:
-    """Adds the digest of a source's canonical form; null where it is null or has no ASCII letter or digit."""
-    source = F.col(source_col)
-    as_json = F.when(F.ltrim(F.translate(source, "\t\r\n", "   ")).startswith("{"), source)
-    plain = F.lower(F.regexp_replace(source, "[^A-Za-z0-9]+", ""))
-    return (
-        df.withColumn("_json", F.pandas_udf(_json_digest, "binary", F.PandasUDFType.SCALAR)(as_json)).withColumn("_plain", plain)
-        .withColumn(name, F.when(F.col("_plain") != "", F.coalesce("_json", F.unhex(F.sha2("_plain", 256))))).drop("_json", "_plain")
-    )
+def canonical_digest(text: str | None) -> bytes | None:
+    """Digest of a source's canonical form; None where it is null or has no ASCII letter or digit.
+
+    Bytes of characters beyond ASCII are all above 127, so letters and digits are kept byte by byte."""
+    if text is None:
+        return None
+    plain = text.encode("utf-8", "replace").translate(_LOWER, _DROP)
+    if not plain:
+        return None
+    if text.lstrip(_BLANKS)[:1] == "{" and (form := json_form(text)) is not None:
+        plain = b"{" + form.encode("utf-8", "replace")
+    return hashlib.sha256(plain).digest()
+
+
+def canonical_keys(df: DataFrame, id_col: str, source_col: str) -> DataFrame:
+    """``id, key`` (32 bytes), ``h`` (bigint hash of the key) of the rows that take part."""
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("key", T.BinaryType()), T.StructField("h", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [canonical_digest(t) for t in batch.column(1).to_pylist()]
+            key = pa.array(keys, pa.binary())
+            took = key.is_valid()
+            h = np.frombuffer(b"".join(k[:8] for k in keys if k is not None), "<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(took), key.filter(took), pa.array(h)], names=["id", "key", "h"])
+
+    return df.where(df[id_col].isNotNull() & df[source_col].isNotNull()).select(df[id_col], df[source_col].cast("string")).mapInArrow(run, schema)
 
 
 def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -168,19 +187,18 @@ def copy_classes(df: DataFrame, id_col: str, source_col: str) -> DataFrame:
     letter or digit and null ids take no part. Rows that repeat an id count as copies of each other.
     Other columns are not read. Empty tables give an empty result.
     """
-    keyed = cut(
-        with_canonical_digest(df.select(df[id_col].alias("id"), df[source_col].cast("string").alias("source")), "source", "key")
-        .where(F.col("key").isNotNull() & F.col("id").isNotNull())
-        .select("id", "key", F.xxhash64("key").alias("h"))
-    )
+    keyed = cut(canonical_keys(df, id_col, source_col))
     filled, bits = repeat_filter(keyed.select("h"), keyed.count())
     shared = keyed.sparkSession.sparkContext.broadcast(filled)
 
-    @F.pandas_udf("boolean")
-    def maybe_again(h: pd.Series) -> pd.Series:
-        return pd.Series(_has(np.frombuffer(shared.value, np.uint8), _bits(h.to_numpy(), bits)))
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            again = _has(held, _bits(batch.column(2).to_numpy(zero_copy_only=False), bits))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(again)], names=["id", "key", "again"])
 
-    marked = keyed.withColumn("again", maybe_again("h"))
+    marked = keyed.mapInArrow(mark, T.StructType([*keyed.schema.fields[:2], T.StructField("again", T.BooleanType())]))
+    # The marks are cheap to make again, so the two branches don't share them.
     single = marked.where(~F.col("again")).select("id", F.col("id").alias("first_id"), F.lit(1).cast("bigint").alias("copies"))
     possible = marked.where(F.col("again")).select("id", "key")
     classes = possible.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).withColumnRenamed("key", "k")
