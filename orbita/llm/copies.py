@@ -115,7 +115,7 @@ def canonical_keys(df: DataFrame, id_col: str, source_col: str) -> DataFrame:
     return df.where(df[id_col].isNotNull() & df[source_col].isNotNull()).select(df[id_col], df[source_col].cast("string")).mapInArrow(run, schema)
 
 
-def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
+def bits_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     """PROBES bit numbers of each hash, all in one block."""
     h = hashes.astype(np.uint64)
     size = min(bits, BLOCK_BITS)
@@ -125,7 +125,7 @@ def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
     return block[:, None] * np.uint64(size) + at % np.uint64(size)
 
 
-def _has(filled: np.ndarray, at: np.ndarray) -> np.ndarray:
+def has_all(filled: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((filled[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
 
 
@@ -134,8 +134,9 @@ def _set(filled: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(filled, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
 
 
-def repeat_filter(hashes: DataFrame, rows: int) -> tuple[bytes, int]:
-    """The merged filter of repeated hashes of the bigint column ``h``, and its number of bits."""
+def bloom_filter(hashes: DataFrame, rows: int, repeated: bool) -> tuple[bytes, int]:
+    """The merged filter of the hashes of the bigint column ``h`` that are there, or with ``repeated`` of
+    those that are there more than once; and its number of bits."""
     bits = 1 << 13
     while bits < min(MAX_BITS, rows * BITS_PER_ROW):
         bits *= 2
@@ -147,8 +148,8 @@ def repeat_filter(hashes: DataFrame, rows: int) -> tuple[bytes, int]:
             if not batch.num_rows:
                 continue
             own, counts = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_counts=True)
-            at = _bits(own, bits)
-            _set(again, at[(counts > 1) | _has(once, at)])
+            at = bits_of(own, bits)
+            _set(again, at[(counts > 1) | has_all(once, at)])
             _set(once, at)
         for k in range(len(once) // block):
             if once[k * block:(k + 1) * block].any():
@@ -165,15 +166,16 @@ def repeat_filter(hashes: DataFrame, rows: int) -> tuple[bytes, int]:
                     once |= o
                 else:
                     held[k] = [o.copy(), a.copy()]
-        for k, (_, again) in held.items():
-            if again.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "again": [again.tobytes()]})
+        for k, (once, again) in held.items():
+            own = again if repeated else once
+            if own.any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "filled": [own.tobytes()]})
 
     local = hashes.mapInArrow(build, "block int, once binary, again binary")
-    merged = local.repartition("block").mapInArrow(merge, "block int, again binary")
+    merged = local.repartition("block").mapInArrow(merge, "block int, filled binary")
     whole = bytearray(bits // 8)
     for r in merged.toLocalIterator():  # at most MAX_BITS bits, one block at a time
-        whole[r["block"] * block:(r["block"] + 1) * block] = r["again"]
+        whole[r["block"] * block:(r["block"] + 1) * block] = r["filled"]
     return bytes(whole), bits
 
 
@@ -188,13 +190,13 @@ def copy_classes(df: DataFrame, id_col: str, source_col: str) -> DataFrame:
     Other columns are not read. Empty tables give an empty result.
     """
     keyed = cut(canonical_keys(df, id_col, source_col))
-    filled, bits = repeat_filter(keyed.select("h"), keyed.count())
+    filled, bits = bloom_filter(keyed.select("h"), keyed.count(), repeated=True)
     shared = keyed.sparkSession.sparkContext.broadcast(filled)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            again = _has(held, _bits(batch.column(2).to_numpy(zero_copy_only=False), bits))
+            again = has_all(held, bits_of(batch.column(2).to_numpy(zero_copy_only=False), bits))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(again)], names=["id", "key", "again"])
 
     marked = keyed.mapInArrow(mark, T.StructType([*keyed.schema.fields[:2], T.StructField("again", T.BooleanType())]))
