@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from orbita.functions.runtime import table
 from orbita.operators.hierarchy import hierarchy
 from orbita.operators.shredding import nested_tables
+from orbita.plans import archive, graphs
 
 JSON_FIELDS = ["feedback_json", "traces_json", "provenance_json"]
 
@@ -24,5 +25,5 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy(table(spark, sf, "candidates"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p4_found)}
-SQL: dict[str, str] = {}
+QUERIES = {**{f.__name__: f for f in (p1_found, p1_tables, p4_found)}, **archive.QUERIES, **graphs.QUERIES}
+SQL: dict[str, str] = {**archive.SQL, **graphs.SQL}
