@@ -186,6 +186,13 @@ def assemble(col: LevelColumn, with_leaves: bool) -> tuple[np.ndarray, str, list
     return col.record[rows], name, paths, parents, scalars
 
 
+def _level_values(col: LevelColumn, is_element: bool) -> list:
+    """What the shredded form shows of a column: kinds of elements, or scalars as text."""
+    if is_element:
+        return [{dict: "object", list: "array", object: None}.get(type(v), "scalar") for v in col.values]
+    return [None if v is _MISSING or type(v) in (dict, list) else _text(v) for v in col.values]
+
+
 def _strings(values: list) -> pa.Array:
     try:
         return pa.array(values, pa.string())
@@ -260,10 +267,7 @@ def level_columns(df: DataFrame, id_col: str, field: str) -> DataFrame:
                 for element in shred(docs, True):
                     for col in [element, *[x for x in element.leaves if x is not element]]:
                         n = len(col.values)
-                        if col is element:
-                            values = [{dict: "object", list: "array", object: None}.get(type(v), "scalar") for v in col.values]
-                        else:
-                            values = [None if v is _MISSING or type(v) in (dict, list) else _text(v) for v in col.values]
+                        values = _level_values(col, col is element)
                         start = np.maximum.accumulate(np.where(col.rep == 0, np.arange(n), 0))
                         yield pa.RecordBatch.from_arrays(
                             [part.column(0).take(pa.array(col.record)), _strings([_templates(col.steps)[2]] * n), pa.array((np.arange(n) - start).astype(np.int32)), pa.array(col.rep), pa.array(col.definition), pa.array(np.full(n, col.max_def, np.int32)), _strings(values)],
