@@ -157,7 +157,7 @@ class _Compiler:
         x, y = sub[0].value, sub[1].value
         error = F.coalesce(sub[1].error, F.when(y <= 0, "non-positive divisor"), sub[0].error)
         rest = F.pmod(x, F.when(y > 0, y))
-        value = rest if op == "mod" else F.call_function("div", x - rest, F.when(y > 0, y)) if False else ((x - rest) / F.when(y > 0, y)).cast("bigint")
+        value = rest if op == "mod" else F.call_function("div", x - rest, F.when(y > 0, y))
         return self.guarded(value, error)
 
     op_mod = op_floordiv

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orbita.functions.runtime import table
 from orbita.operators.hierarchy import hierarchy
+from orbita.operators.pricing import mixtures, word_profiles
 from orbita.operators.shredding import nested_tables
 from orbita.plans import archive, graphs
+from orbita.streaming.tail import tally
 
 JSON_FIELDS = ["feedback_json", "traces_json", "provenance_json"]
 
@@ -25,5 +27,40 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy(table(spark, sf, "candidates"))
 
 
-QUERIES = {**{f.__name__: f for f in (p1_found, p1_tables, p4_found)}, **archive.QUERIES, **graphs.QUERIES}
-SQL: dict[str, str] = {**archive.SQL, **graphs.SQL}
+#: Walks every JSON value with DuckDB's json_tree; names here hold no dot or bracket.
+_P1 = " UNION ALL ".join(
+    f"""SELECT id, '{f}' AS field, fullkey AS path, CASE WHEN regexp_matches(fullkey, '\\].*\\.[^\\]]+(\\[\\d+\\])+$') THEN regexp_extract(fullkey, '^(.*\\])(\\.[^.\\[\\]]+)+(\\[\\d+\\])+$', 1) ELSE '$' END AS parent_path
+  FROM (SELECT id, unnest(json_tree_of) AS n FROM (SELECT c.id, list({{'fullkey': t.fullkey, 'type': t.type}}) AS json_tree_of FROM
+    (SELECT id, CASE WHEN json_type({f}) = 'VARCHAR' THEN CASE WHEN json_valid({f} ->> '$') THEN {f} ->> '$' END ELSE {f} END AS j FROM candidates WHERE json_valid({f})) c, json_tree(c.j) t GROUP BY c.id)) x,
+    LATERAL (SELECT n.fullkey AS fullkey, n.type AS type) y WHERE type = 'OBJECT' AND fullkey LIKE '%]'"""
+    for f in JSON_FIELDS
+)
+
+_P4 = """WITH RECURSIVE t(id, root_id, root_run_id, depth, path) AS (
+    SELECT id, id, run_id, 0, CAST(id AS VARCHAR) FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM candidates p WHERE p.id = c.parent_id)
+    UNION ALL SELECT c.id, t.root_id, t.root_run_id, t.depth + 1, t.path || '/' || c.id FROM candidates c JOIN t ON c.parent_id = t.id),
+  below AS (SELECT a, count(*) - 1 AS n FROM (SELECT unnest(string_split(path, '/')) AS a FROM t) GROUP BY a),
+  u AS (SELECT id, parent_id FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.id = c.id)),
+  up(id, a) AS (SELECT id, parent_id FROM u UNION SELECT up.id, u.parent_id FROM up JOIN u ON u.id = up.a)
+  SELECT t.id, 'tree' AS state, root_id, root_run_id, depth, path, CAST(n AS INTEGER) AS descendants FROM t JOIN below ON below.a = CAST(t.id AS VARCHAR)
+  UNION ALL SELECT id, CASE WHEN EXISTS (SELECT 1 FROM up WHERE up.id = u.id AND up.a = u.id) THEN 'cycle' ELSE 'below_cycle' END, -1, '', -1, '', -1 FROM u"""
+
+
+def family_words(spark: SparkSession, sf: str) -> DataFrame:
+    """One word per cut for each family, with its prices."""
+    return word_profiles(table(spark, sf, "families"))
+
+
+def family_mixtures(spark: SparkSession, sf: str) -> DataFrame:
+    """The best exact mixture of each family's words."""
+    return mixtures(word_profiles(table(spark, sf, "families")))
+
+
+def stream_tally(spark: SparkSession, sf: str) -> DataFrame:
+    """Log lines per event and status, read as a stream."""
+    return tally(spark, f"{sf}/run_log.parquet")
+
+
+QUERIES = {**{f.__name__: f for f in (p1_found, p1_tables, p4_found, family_words, family_mixtures, stream_tally)}, **archive.QUERIES, **graphs.QUERIES}
+SQL: dict[str, str] = {
+    "p1_found": _P1, "p4_found": _P4, "stream_tally": "SELECT event, status, count(*) AS lines FROM (SELECT DISTINCT log_id, event, status FROM run_log) GROUP BY event, status", **archive.SQL, **graphs.SQL}
