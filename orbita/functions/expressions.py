@@ -88,9 +88,9 @@ def _token_features(v: Column, t: Column, m: int, r: int) -> dict[str, Column]:
 
 
 class _Compiler:
-    def __init__(self, v: Column, m: int, r: int):
+    def __init__(self, v: Column, m: int, r: int, extra: dict[str, Column] | None = None):
         self.v, self.m, self.r, self.n = v, m, r, m + r
-        self.names = features(v, m, r)
+        self.names = {**features(v, m, r), **(extra or {})}
         self.nodes = 0
 
     def compile(self, e, depth: int = 0, token: dict | None = None) -> Node:
@@ -200,8 +200,13 @@ class _Compiler:
         return self.guarded(value, F.try_element_at(failed, F.lit(1)))
 
 
+def node(expression, v: Column, m: int, r: int, extra: dict[str, Column] | None = None) -> Node:
+    """Value and error columns of an expression; ``extra`` names may be used in it besides the features."""
+    return _Compiler(v, m, r, extra).compile(expression)
+
+
 def evaluate(df: DataFrame, expression, m: int, r: int, cells: str = "v") -> DataFrame:
     """Adds ``value`` (bigint) and ``error`` (text, null where there is a value) of an expression on the
     array of cells. Raises :class:`ExpressionError` for what is not an expression of the language."""
-    node = _Compiler(F.col(cells), m, r).compile(expression)
-    return df.withColumns({"value": node.value, "error": node.error})
+    one = node(expression, F.col(cells), m, r)
+    return df.withColumns({"value": one.value, "error": one.error})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orbita.functions import expressions
 from orbita.functions import states as S
+from orbita.operators import programs
 from orbita.operators.distance import distance_table, layer_sizes, lifting_report, spread_sample
 
 QUERIES: dict = {}
@@ -111,3 +112,19 @@ def bound_check_4_2(spark, sf):
 @query()
 def lifting_4_2(spark, sf):
     return lifting_report(spark, 4, 2)
+
+
+@query()
+def potential_score_4_2(spark, sf):
+    """A potential scored on all states: sign, descent to a neighbour, distance."""
+    return programs.score(programs.check_values(distance_table(spark, 4, 2), ["add", ["mul", 3, "inv"], "disp_sum", ["if", "is_root", 0, "n"]], 4, 2, descend=True), 4, 2)
+
+
+#: Swap what is out of order, else turn; a register counts the swaps.
+RULES = [{"if": ["and", ["gt", "a", "b"], ["gt", "b", 0]], "do": "X", "set": {"r0": ["add", "r0", 1]}}, {"if": ["and", ["eq", "a", 0], ["gt", "b", 1]], "do": "X"}]
+
+
+@query()
+def rules_4_1(spark, sf):
+    """A rules controller run from every state."""
+    return programs.run_rules(_all(spark, 4, 1).select("p"), RULES, "L", 4, 1, 60).select(S.text(F.col("p"), 5).alias("v"), "word", "outcome")
