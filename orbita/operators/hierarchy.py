@@ -23,7 +23,9 @@ def _linked(df: DataFrame, id_col: str, parent_col: str, run_col: str) -> DataFr
         .where(F.col("id").isNotNull()).groupBy("id").agg(F.min("s").alias("s")).select("id", F.col("s.p").alias("p"), F.col("s.r").alias("run"))
     )
     there = nodes.select(F.col("id").alias("up"))
-    return nodes.join(there, nodes["p"] == there["up"], "left").select("id", "up", "run")
+    # Rows without a parent need no look-up; as null keys they would all meet in one task.
+    none = nodes.where("p IS NULL").select("id", F.col("p").alias("up"), "run")
+    return nodes.where("p IS NOT NULL").join(there, F.col("p") == F.col("up"), "left").select("id", "up", "run").unionByName(none)
 
 
 def _climb(linked: DataFrame) -> tuple[DataFrame, DataFrame]:
