@@ -148,3 +148,19 @@ def inversions(seq: Column) -> Column:
     return F.aggregate(
         F.transform(seq, lambda x, i: F.size(F.filter(F.slice(seq, i + 2, F.greatest(F.size(seq) - i - 1, F.lit(0))), lambda y: y < x))), F.lit(0), lambda a, x: a + x
     )
+
+
+def order_statistics(v: Column, m: int) -> dict[str, Column]:
+    """Correlation statistics of a circular order ``v`` of 0..m-1: C (weights against windows), K (triples that
+    turn one way), H (pairs shifted alike), V (squared windows) and E = C - 4K - 2H. Written out in
+    plain arithmetic for the given m, so they stay in generated code."""
+    from itertools import combinations
+
+    at = lambda i: F.element_at(v, i % m + 1)
+    mod = lambda x: F.pmod(x, F.lit(m))
+    total = lambda xs: sum(xs, F.lit(0))
+    windows = [2 * total((at(s + j) < j).cast("int") for j in range(1, m)) - m + 1 for s in range(m)]
+    c = total((2 * at(s) - m + 1) * windows[s] for s in range(m))
+    k = total((mod(at(j) - at(i)) < mod(at(x) - at(i))).cast("int") for i, j, x in combinations(range(m), 3))
+    h = total((mod(at(i) - i - at(j) + j) == 0).cast("int") for i, j in combinations(range(m), 2))
+    return {"C": c, "K": k, "H": h, "V": total(w * w for w in windows), "E": c - 4 * k - 2 * h}

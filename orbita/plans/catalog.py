@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orbita.functions.runtime import table
 from orbita.operators.hierarchy import hierarchy
-from orbita.operators.pricing import mixtures, word_profiles
+from orbita.operators.pricing import frontier, mixtures, word_profiles
 from orbita.operators.shredding import nested_tables
 from orbita.plans import archive, graphs
 from orbita.streaming.tail import tally
@@ -56,11 +56,16 @@ def family_mixtures(spark: SparkSession, sf: str) -> DataFrame:
     return mixtures(word_profiles(table(spark, sf, "families")))
 
 
+def family_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of each family that no other word of it beats."""
+    return frontier(word_profiles(table(spark, sf, "families"))).select("id", "cut", "base", "slopes")
+
+
 def stream_tally(spark: SparkSession, sf: str) -> DataFrame:
     """Log lines per event and status, read as a stream."""
     return tally(spark, f"{sf}/run_log.parquet")
 
 
-QUERIES = {**{f.__name__: f for f in (p1_found, p1_tables, p4_found, family_words, family_mixtures, stream_tally)}, **archive.QUERIES, **graphs.QUERIES}
+QUERIES = {**{f.__name__: f for f in (p1_found, p1_tables, p4_found, family_words, family_mixtures, family_frontier, stream_tally)}, **archive.QUERIES, **graphs.QUERIES}
 SQL: dict[str, str] = {
     "p1_found": _P1, "p4_found": _P4, "stream_tally": "SELECT event, status, count(*) AS lines FROM (SELECT DISTINCT log_id, event, status FROM run_log) GROUP BY event, status", **archive.SQL, **graphs.SQL}

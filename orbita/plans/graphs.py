@@ -128,3 +128,14 @@ RULES = [{"if": ["and", ["gt", "a", "b"], ["gt", "b", 0]], "do": "X", "set": {"r
 def rules_4_1(spark, sf):
     """A rules controller run from every state."""
     return programs.run_rules(_all(spark, 4, 1).select("p"), RULES, "L", 4, 1, 60).select(S.text(F.col("p"), 5).alias("v"), "word", "outcome")
+
+
+@query("""WITH d AS (SELECT unnest(range(0, 5)) AS x), o AS (SELECT [a.x, b.x, c.x, e.x, f.x] AS p FROM d a, d b, d c, d e, d f WHERE len(list_distinct([a.x, b.x, c.x, e.x, f.x])) = 5),
+  u AS (SELECT p, [2 * len(list_filter(range(1, 5), lambda j: p[(s + j) % 5 + 1] < j)) - 4 for s in range(0, 5)] AS w FROM o),
+  i AS (SELECT x AS i FROM d), t AS (SELECT p, w, list_sum([(2 * p[s] - 4) * w[s] for s in range(1, 6)]) AS c, list_sum([w[s] * w[s] for s in range(1, 6)]) AS v,
+    (SELECT count(*) FROM i a, i b WHERE a.i < b.i AND (p[a.i + 1] - a.i - p[b.i + 1] + b.i + 20) % 5 = 0) AS h,
+    (SELECT count(*) FROM i a, i b, i c WHERE a.i < b.i AND b.i < c.i AND (p[b.i + 1] - p[a.i + 1] + 5) % 5 < (p[c.i + 1] - p[a.i + 1] + 5) % 5) AS k FROM u)
+  SELECT array_to_string(p, ' ') AS circle, CAST(c AS BIGINT) AS c, CAST(k AS BIGINT) AS k, CAST(h AS BIGINT) AS h, CAST(v AS BIGINT) AS v, CAST(c - 4 * k - 2 * h AS BIGINT) AS e FROM t""")
+def order_statistics_5(spark, sf):
+    rows = _all(spark, 5, 0).select(F.transform(S.cells(F.col("p"), 5), lambda x: x - 1).alias("o"))
+    return rows.select(F.concat_ws(" ", F.col("o").cast("array<string>")).alias("circle"), *[c.cast("bigint").alias(name.lower()) for name, c in S.order_statistics(F.col("o"), 5).items()])
