@@ -1,7 +1,8 @@
 """Queries over the archive's tables: campaign log, ledger, runs, candidates, families.
 
 Each entry is a plan and the SQL it must equal. Log lines that were delivered again count once (their
-first delivery). Sums of fractions are taken in decimals, so that they don't depend on the order.
+first delivery). Sums of fractions are taken in decimals, so that they don't depend on the order. The SQL
+tells NaN by its text: with isnan() some NaN of the Parquet files passed DuckDB's filters.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def _real(c: str) -> Column:
     return F.when(~F.isnan(c), F.col(c))
 
 
-_REAL = "CASE WHEN NOT isnan(score) THEN score END"
+_REAL = "CASE WHEN NOT CAST(score AS VARCHAR) = 'nan' THEN score END"
 
 
 def _money(c: str) -> Column:
@@ -122,7 +123,7 @@ def run_overview(spark, sf):
 
 
 @query(f"""SELECT engine, count(score) AS n, round(avg(CAST(score AS DECIMAL(20,6))), 4) AS mean, min(score) AS low, max(score) AS high
-  FROM (SELECT engine, {_REAL} AS score FROM candidates WHERE NOT isinf(coalesce(score, 0))) GROUP BY engine""")
+  FROM (SELECT engine, {_REAL} AS score FROM candidates WHERE score IS NULL OR CAST(score AS VARCHAR) NOT IN ('inf', '-inf')) GROUP BY engine""")
 def arm_statistics(spark, sf):
     score = F.when(~F.isnan("score") & (F.abs("score") != float("inf")), F.col("score"))
     rows = table(spark, sf, "candidates").where(F.abs(F.coalesce("score", F.lit(0.0))) != float("inf")).select("engine", score.alias("score"))
@@ -166,7 +167,7 @@ def best_at_spend(spark, sf):
 
 
 @query(f"""WITH {_LINES}, g AS (SELECT DISTINCT candidate_id, u.graph AS graph, u.score AS score FROM (SELECT candidate_id, unnest(graphs) AS u FROM lines WHERE event = 'candidate' AND candidate_id IS NOT NULL)
-  WHERE u.score IS NOT NULL AND NOT isnan(u.score)), b AS (SELECT graph, max(score) AS best FROM g GROUP BY graph)
+  WHERE u.score IS NOT NULL AND NOT CAST(u.score AS VARCHAR) = 'nan'), b AS (SELECT graph, max(score) AS best FROM g GROUP BY graph)
   SELECT candidate_id, count(*) AS wins FROM g JOIN b ON g.graph = b.graph AND g.score = b.best GROUP BY candidate_id""")
 def pareto_wins(spark, sf):
     """How many graphs each candidate is best on; ties count for all."""
@@ -177,7 +178,7 @@ def pareto_wins(spark, sf):
 
 
 @query(f"""WITH {_LINES} SELECT u.graph AS graph, count(*) AS evaluations, CAST(sum(u.failures) AS BIGINT) AS failures, max(u.failures) AS most_failures,
-  max(CASE WHEN NOT isnan(u.score) THEN u.score END) AS best FROM (SELECT unnest(graphs) AS u FROM lines WHERE event = 'candidate') GROUP BY u.graph""")
+  max(CASE WHEN NOT CAST(u.score AS VARCHAR) = 'nan' THEN u.score END) AS best FROM (SELECT unnest(graphs) AS u FROM lines WHERE event = 'candidate') GROUP BY u.graph""")
 def graph_scores(spark, sf):
     rows = _lines(spark, sf, "event", "graphs").where("event = 'candidate'").select(F.explode("graphs").alias("u")).select("u.*")
     return rows.groupBy("graph").agg(F.count("*").alias("evaluations"), F.sum("failures").alias("failures"), F.max("failures").alias("most_failures"), F.max(_real("score")).alias("best"))
@@ -234,7 +235,7 @@ def richest_per_source(spark, sf):
     return rows.groupBy("source_sha256").agg(best.alias("id")).select("id", "source_sha256")
 
 
-@query(f"""WITH r AS (SELECT engine, id, score, ntile(6) OVER (PARTITION BY engine ORDER BY score, id) AS tile FROM candidates WHERE score IS NOT NULL AND NOT isnan(score))
+@query(f"""WITH r AS (SELECT engine, id, score, ntile(6) OVER (PARTITION BY engine ORDER BY score, id) AS tile FROM candidates WHERE score IS NOT NULL AND NOT CAST(score AS VARCHAR) = 'nan')
   SELECT engine, CAST(tile AS INTEGER) AS tile, count(*) AS n, min(score) AS low, max(score) AS high FROM r GROUP BY engine, tile""")
 def score_tiles(spark, sf):
     """Six equal groups of each engine's candidates by score and id: each row's place is the number of rows
@@ -260,7 +261,7 @@ def count_windows(spark, sf):
 
 
 @query("""SELECT c.engine, count(*) FILTER (WHERE c.score > p.score) AS uphill, count(*) FILTER (WHERE c.score = p.score) AS flat, count(*) FILTER (WHERE c.score < p.score) AS downhill
-  FROM candidates c JOIN candidates p ON c.parent_id = p.id WHERE NOT isnan(c.score) AND NOT isnan(p.score) GROUP BY c.engine""")
+  FROM candidates c JOIN candidates p ON c.parent_id = p.id WHERE NOT CAST(c.score AS VARCHAR) = 'nan' AND NOT CAST(p.score AS VARCHAR) = 'nan' GROUP BY c.engine""")
 def steps_from_parent(spark, sf):
     rows = table(spark, sf, "candidates").where("NOT isnan(score)").select("id", "parent_id", "engine", "score")
     both = rows.join(rows.select(F.col("id").alias("parent_id"), F.col("score").alias("p")), "parent_id")
@@ -269,7 +270,7 @@ def steps_from_parent(spark, sf):
 
 
 @query(f"""WITH {_LINES} SELECT CASE WHEN c.id IS NULL THEN 'log only' WHEN l.candidate_id IS NULL THEN 'archive only' WHEN l.score IS NULL OR c.score IS NULL THEN 'unscored'
-  WHEN l.score = c.score OR (isnan(l.score) AND isnan(c.score)) THEN 'agree' ELSE 'differ' END AS verdict, count(*) AS n
+  WHEN l.score = c.score OR (CAST(l.score AS VARCHAR) = 'nan' AND CAST(c.score AS VARCHAR) = 'nan') THEN 'agree' ELSE 'differ' END AS verdict, count(*) AS n
   FROM (SELECT candidate_id, min(score) AS score FROM lines WHERE event = 'candidate' AND candidate_id IS NOT NULL GROUP BY candidate_id) l FULL JOIN candidates c ON c.id = l.candidate_id GROUP BY 1""")
 def audit_scores(spark, sf):
     log = _lines(spark, sf, "event", "candidate_id", "score").where("event = 'candidate' AND candidate_id IS NOT NULL").groupBy("candidate_id").agg(F.min("score").alias("l"))
