@@ -79,5 +79,5 @@ SQL = {
     "p2_found": """
         SELECT run_id, engine, CAST(r AS INTEGER) AS rank_no, id FROM (
           SELECT run_id, engine, id, row_number() OVER (PARTITION BY run_id, engine ORDER BY score + 0.0 DESC, id) AS r
-          FROM candidates WHERE score IS NOT NULL AND NOT isnan(score)) WHERE r <= 5""",
+          FROM candidates WHERE score IS NOT NULL AND CAST(score AS VARCHAR) <> 'nan') WHERE r <= 5""",
 }
