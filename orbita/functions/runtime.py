@@ -20,11 +20,14 @@ _FALLBACK: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a folder of our own only where that is
-    unset, as in tests on one machine."""
+    """The folder the cluster names in spark.checkpoint.dir. Where that is unset, a temporary folder, if all
+    work is done on this machine; else it is an error, for no other machine would see that folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="orbita-"))
     return f"file://{_FALLBACK[0]}"
@@ -37,18 +40,50 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _fresh(spark: SparkSession) -> tuple[str, str]:
+    name = f"orbita_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    atexit.register(_remove, spark, path)
+    return name, path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it from there: its lineage ends.
 
     The files outlive executors, so a lost executor costs only the work after the cut; and the
     plans that follow know the table's size, by which Spark chooses its joins. The table is removed
-    when the program ends.
+    by :func:`free`, else when the program ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/orbita-{uuid.uuid4().hex}"
+    _, path = _fresh(spark)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._orbita_path = path
+    return out
+
+
+def cut_in_place(df: DataFrame, key: str) -> DataFrame:
+    """As :func:`cut`, with each partition's rows kept together in buckets by ``key``, a column whose values never
+    spread over partitions: nothing is shuffled, and a later join on ``key`` shuffles the other side only."""
+    spark = df.sparkSession
+    name, path = _fresh(spark)
+    buckets = min(max(1, df.rdd.getNumPartitions()), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    atexit.register(lambda: _drop(spark, name))
+    return spark.table(name)
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    with contextlib.suppress(Exception):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def free(*tables: DataFrame | None) -> None:
+    """Removes tables :func:`cut` wrote, which no plan still to be run may read. Others are left alone."""
+    for df in tables:
+        path = getattr(df, "_orbita_path", None)
+        if path:
+            _remove(df.sparkSession, path)
 
 
 def digest(c: Column) -> Column:

@@ -14,6 +14,7 @@ Everything happens inside one map over Arrow batches: no shuffle, no state betwe
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field as dc_field
 
@@ -27,51 +28,131 @@ _MISSING = object()
 SLICE_BYTES = 4 << 20
 
 
+class Number(str):
+    """A number of a JSON text as it is written, of any length; no string of the text."""
+
+
+_TOKEN = re.compile(r'''[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null)|(NaN|-?Infinity))''')
+_NAMED = {"true": True, "false": False, "null": None}
+
+
+def _tokens(text: str) -> Iterator:
+    """Marks as one-letter strings, values as one-tuples."""
+    at, end = 0, len(text.rstrip(" \t\n\r"))
+    while at < end:
+        found = _TOKEN.match(text, at)
+        if not found:
+            raise ValueError(at)
+        at = found.end()
+        mark, string, number, named, constant = found.groups()
+        yield mark or (json.loads(string) if string else Number(number or constant) if number or constant else _NAMED[named],)
+
+
+def _read_deep(text: str):
+    """The value of a JSON text nested beyond what the parser can hold: a stack instead of recursion."""
+    stack: list = []  # open arrays and objects
+    names: list = []  # the name that waits for its value, of each open object
+    value, want = _MISSING, "value"
+    for token in _tokens(text):
+        if want == "end":
+            raise ValueError(text[:20])
+        done = _MISSING
+        if type(token) is tuple:
+            if want in ("name", "name or close"):
+                if type(token[0]) is not str:
+                    raise ValueError("name")
+                names[-1], want = token[0], ":"
+                continue
+            if want not in ("value", "value or close"):
+                raise ValueError(want)
+            done = token[0]
+        elif token in "[{" and want in ("value", "value or close"):
+            stack.append([] if token == "[" else {})
+            names.append(None)
+            want = "value or close" if token == "[" else "name or close"
+            continue
+        elif token == ":" and want == ":":
+            want = "value"
+            continue
+        elif token == "," and want == "next":
+            want = "value" if type(stack[-1]) is list else "name"
+            continue
+        elif token in "]}" and want in ("next", "value or close", "name or close") and stack and type(stack[-1]) is (list if token == "]" else dict):
+            done = stack.pop()
+            names.pop()
+        else:
+            raise ValueError(token)
+        if not stack:
+            value, want = done, "end"
+        else:
+            if type(stack[-1]) is list:
+                stack[-1].append(done)
+            else:
+                stack[-1][names[-1]] = done
+            want = "next"
+    if want != "end":
+        raise ValueError("cut off")
+    return value
+
+
+def parse_json(text: str):
+    """The value of a JSON text, its numbers as written; ValueError where it is not one complete value."""
+    try:
+        return json.loads(text, parse_int=Number, parse_float=Number, parse_constant=Number)
+    except RecursionError:
+        return _read_deep(text)
+
+
 def read_json(text: str | None):
     """The value of a JSON text; a JSON string that holds JSON is read as its content.
 
-    Anything that is not one complete JSON value (null, empty, cut off, nested beyond what the
-    parser can hold) gives ``_MISSING``.
+    Anything that is not one complete JSON value (null, empty, cut off) gives ``_MISSING``. Numbers of any
+    length and nesting of any depth are read.
     """
     if text is None:
         return _MISSING
     try:
-        value = json.loads(text)
+        value = parse_json(text)
         while type(value) is str:
-            value = json.loads(value)
-    except (ValueError, RecursionError):
+            value = parse_json(value)
+    except ValueError:
         return _MISSING
     return value
 
 
 @dataclass
 class LevelColumn:
-    """One path of a batch. ``steps`` holds names and ``None`` for an array step."""
+    """One path of a batch: the last step (a name, ``None`` for an array step) and the column above it."""
 
-    steps: tuple
+    above: LevelColumn | None
+    step: str | None
     record: np.ndarray
     rep: np.ndarray
     definition: np.ndarray
     values: list
     max_def: int
+    max_rep: int
     leaves: list = dc_field(default_factory=list)
 
     @property
-    def max_rep(self) -> int:
-        return sum(s is None for s in self.steps)
+    def steps(self) -> list:
+        out, col = [], self
+        while col.above is not None:
+            out.append(col.step)
+            col = col.above
+        return out[::-1]
 
 
-def shred(docs: list, with_leaves: bool = True) -> list[LevelColumn]:
+def shred(docs: list) -> list[LevelColumn]:
     """The element column of every repeated path of ``docs``, each with its scalar leaf columns.
 
     ``docs`` are parsed values or ``_MISSING``. A record takes part in a path's column if the path
-    is there at least once in the record; then all its enclosing elements have an entry. Without
-    ``with_leaves`` scalar columns, which then nobody reads, are pruned.
+    is there at least once in the record; then all its enclosing elements have an entry.
     """
     out: list[LevelColumn] = []
     there = [i for i, d in enumerate(docs) if d is not _MISSING]
     n = len(there)
-    root = LevelColumn((), np.array(there, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int32), [docs[i] for i in there], 0)
+    root = LevelColumn(None, None, np.array(there, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int32), [docs[i] for i in there], 0, 0)
     stack = [(root, root)]
     while stack:
         col, owner = stack.pop()
@@ -81,16 +162,13 @@ def shred(docs: list, with_leaves: bool = True) -> list[LevelColumn]:
             out.append(child)
             stack.append((child, child))
         if dict in kinds:
-            dicts = [v for v in col.values if type(v) is dict]
             names: dict = {}
-            for v in dicts:
-                if with_leaves:
+            for v in col.values:
+                if type(v) is dict:
                     names.update(dict.fromkeys(v))
-                else:
-                    names.update(dict.fromkeys([k for k, x in v.items() if type(x) is dict or type(x) is list]))
             for name in names:
                 stack.append((_enter_field(col, name), owner))
-        if with_leaves and kinds - {dict, list, object}:
+        if kinds - {dict, list, object}:
             owner.leaves.append(col)
     return out
 
@@ -106,7 +184,7 @@ def _enter_field(col: LevelColumn, name: str) -> LevelColumn:
         if not keep.all():
             rec, rep, definition = rec[keep], rep[keep], definition[keep]
             values = [v for v, k in zip(values, keep.tolist()) if k]
-    return LevelColumn((*col.steps, name), rec, rep, definition.astype(np.int32), values, col.max_def + 1)
+    return LevelColumn(col, name, rec, rep, definition.astype(np.int32), values, col.max_def + 1, col.max_rep)
 
 
 def _enter_array(col: LevelColumn) -> LevelColumn:
@@ -129,8 +207,8 @@ def _enter_array(col: LevelColumn) -> LevelColumn:
     first = np.zeros(len(source), bool)
     first[np.cumsum(entries) - entries] = True
     return LevelColumn(
-        (*col.steps, None), record[source], np.where(first, rep[source], level).astype(np.int32),
-        (definition[source] + (sizes[source] > 0)).astype(np.int32), values, col.max_def + 1,
+        col, None, record[source], np.where(first, rep[source], level).astype(np.int32),
+        (definition[source] + (sizes[source] > 0)).astype(np.int32), values, col.max_def + 1, level,
     )
 
 
@@ -142,48 +220,52 @@ def positions(rep: np.ndarray, level: int) -> np.ndarray:
     return count - count[np.maximum.accumulate(start)]
 
 
-def _templates(steps: tuple) -> tuple[str, str, str, int]:
+def _templates(steps: list) -> tuple[str, str, str, int]:
     """Formats of the path, of the nearest enclosing object that is an element, the table name, and
     how many positions the parent's format takes."""
-    path, parent, name, used, parent_used = "$", "$", "$", 0, 0
+    path, name, parent, used, parent_used = ["$"], ["$"], 1, 0, 0
     for at, s in enumerate(steps):
         if s is None:
-            path, name, used = path + "[%d]", name + "[]", used + 1
+            path.append("[%d]")
+            name.append("[]")
+            used += 1
             if at + 1 < len(steps) and steps[at + 1] is not None:
-                parent, parent_used = path, used
+                parent, parent_used = len(path), used
         else:
-            path, name = path + "." + s.replace("%", "%%"), name + "." + s
-    return path, parent, name, parent_used
+            path.append("." + s.replace("%", "%%"))
+            name.append("." + s)
+    return "".join(path), "".join(path[:parent]), "".join(name), parent_used
 
 
 def _text(value) -> str | None:
-    if value is None or type(value) is str:
+    """A scalar as text: strings and numbers as they are, true and false by name."""
+    if value is None or isinstance(value, str):
         return value
-    return json.dumps(value)
+    return "true" if value else "false"
 
 
-def assemble(col: LevelColumn, with_leaves: bool) -> tuple[np.ndarray, str, list[str], list[str], list | None]:
+def assemble(col: LevelColumn) -> tuple[np.ndarray, str, list[str], list[str], list]:
     """Rows of one repeated ancestor from its levels: record, table, path, parent path, scalars."""
     is_object = np.fromiter((type(v) is dict for v in col.values), bool, len(col.values))
     rows = np.flatnonzero(is_object & (col.definition == col.max_def))
-    path, parent, name, parent_used = _templates(col.steps)
+    if not len(rows):
+        return col.record[rows], "", [], [], []
+    steps = col.steps
+    path, parent, name, parent_used = _templates(steps)
     at = [positions(col.rep, k)[rows].tolist() for k in range(1, col.max_rep + 1)]
     paths = [path % p for p in zip(*at)]
     parents = [parent % p for p in zip(*at[:parent_used])] if parent_used else ["$"] * len(rows)
-    scalars = None
-    if with_leaves:
-        all_scalars: list = [{} for _ in col.values]
-        for leaf in col.leaves:
-            if leaf is col:
-                continue
-            label = ".".join(leaf.steps[len(col.steps):])
-            mine = np.zeros(int(col.record[-1]) + 1, bool)
-            mine[leaf.record] = True
-            for entry, value in zip(np.flatnonzero(mine[col.record]).tolist(), leaf.values):
-                if value is not _MISSING and type(value) is not dict and type(value) is not list:
-                    all_scalars[entry][label] = _text(value)
-        scalars = [list(all_scalars[i].items()) for i in rows.tolist()]
-    return col.record[rows], name, paths, parents, scalars
+    all_scalars: list = [{} for _ in col.values]
+    for leaf in col.leaves:
+        if leaf is col:
+            continue
+        label = ".".join(leaf.steps[len(steps):])
+        mine = np.zeros(int(col.record[-1]) + 1, bool)
+        mine[leaf.record] = True
+        for entry, value in zip(np.flatnonzero(mine[col.record]).tolist(), leaf.values):
+            if value is not _MISSING and type(value) is not dict and type(value) is not list:
+                all_scalars[entry][label] = _text(value)
+    return col.record[rows], name, paths, parents, [list(all_scalars[i].items()) for i in rows.tolist()]
 
 
 def _level_values(col: LevelColumn, is_element: bool) -> list:
@@ -200,24 +282,22 @@ def _strings(values: list) -> pa.Array:
         return pa.array([v if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
 
 
-def nested_tables(df: DataFrame, id_col: str, fields: list[str], values: bool = True) -> DataFrame:
+def nested_tables(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """Flat tables of all JSON objects that are array elements, at any depth, of the JSON ``fields``.
 
     One row for each object: ``id`` (of ``id_col``, any type), ``field``, ``path`` (``$.a[0].b``),
-    ``parent_path`` (nearest enclosing object that is itself an element, else ``$``), and with
-    ``values`` also ``table`` (the path without positions) and ``scalars`` (a map of the scalars that
-    belong to the object itself and to no deeper array, as text).
+    ``parent_path`` (nearest enclosing object that is itself an element, else ``$``), ``table`` (the path without
+    positions) and ``scalars`` (a map of the scalars that belong to the object itself and to no deeper array, as
+    text, numbers as written).
 
     Null, empty, cut-off or otherwise unreadable fields give no rows; a JSON string that holds JSON
     is read as its content; of a name repeated in one object the last counts; lone surrogates in
-    names become ``?``. Rows repeated in ``df`` give their rows again; null ids are kept. Other
-    columns of ``df``, whatever their names, are not read. Empty tables give an empty result.
+    names become ``?``; numbers may have any length, nesting any depth. Rows repeated in ``df`` give their rows
+    again; null ids are kept. Other columns of ``df``, whatever their names, are not read. Empty tables give an
+    empty result.
     """
-    kind = df.schema[id_col].dataType
-    out = [T.StructField("id", kind), T.StructField("field", T.StringType()), T.StructField("path", T.StringType()), T.StructField("parent_path", T.StringType())]
-    if values:
-        out += [T.StructField("table", T.StringType()), T.StructField("scalars", T.MapType(T.StringType(), T.StringType()))]
-    schema = T.StructType(out)
+    text = T.StringType()
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *[T.StructField(c, text) for c in ("field", "path", "parent_path", "table")], T.StructField("scalars", T.MapType(text, text))])
     names = list(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,19 +306,20 @@ def nested_tables(df: DataFrame, id_col: str, fields: list[str], values: bool =
                 ids = part.column(0)
                 for k, name in enumerate(names, 1):
                     docs = [read_json(t) for t in part.column(k).to_pylist()]
-                    for col in shred(docs, values):
-                        record, tab, paths, parents, scalars = assemble(col, values)
+                    for col in shred(docs):
+                        record, tab, paths, parents, scalars = assemble(col)
                         if not len(record):
                             continue
                         n = len(record)
-                        arrays = [ids.take(pa.array(record)), pa.array([name] * n, pa.string()), _strings(paths), _strings(parents)]
-                        cols = ["id", "field", "path", "parent_path"]
-                        if values:
-                            flat = [kv for row in scalars for kv in row]
-                            offsets = np.concatenate([[0], np.cumsum([len(r) for r in scalars])]).astype(np.int32)
-                            arrays += [_strings([tab] * n), pa.MapArray.from_arrays(pa.array(offsets), _strings([k for k, _ in flat]), _strings([v for _, v in flat]))]
-                            cols += ["table", "scalars"]
-                        yield pa.RecordBatch.from_arrays(arrays, names=cols)
+                        flat = [kv for row in scalars for kv in row]
+                        offsets = np.concatenate([[0], np.cumsum([len(r) for r in scalars])]).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                ids.take(pa.array(record)), pa.array([name] * n, pa.string()), _strings(paths), _strings(parents), _strings([tab] * n),
+                                pa.MapArray.from_arrays(pa.array(offsets), _strings([k for k, _ in flat]), _strings([v for _, v in flat])),
+                            ],
+                            names=schema.names,
+                        )
 
     return df.select(df[id_col].alias("id"), *[df[f].cast("string").alias(f"f{i}") for i, f in enumerate(fields)]).mapInArrow(run, schema)
 
@@ -264,7 +345,7 @@ def level_columns(df: DataFrame, id_col: str, field: str) -> DataFrame:
         for batch in batches:
             for part in _slices(batch):
                 docs = [read_json(t) for t in part.column(1).to_pylist()]
-                for element in shred(docs, True):
+                for element in shred(docs):
                     for col in [element, *[x for x in element.leaves if x is not element]]:
                         n = len(col.values)
                         values = _level_values(col, col is element)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orbita.functions.runtime import table
 from orbita.operators.hierarchy import hierarchy
@@ -15,12 +16,13 @@ JSON_FIELDS = ["feedback_json", "traces_json", "provenance_json"]
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return nested_tables(table(spark, sf, "candidates"), "id", JSON_FIELDS, values=False)
+    return nested_tables(table(spark, sf, "candidates"), "id", JSON_FIELDS).select("id", "field", "path", "parent_path")
 
 
 def p1_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """The flat tables with their scalars."""
-    return nested_tables(table(spark, sf, "candidates"), "id", JSON_FIELDS)
+    """The flat tables with their scalars, as lines ``name=value`` in order of names."""
+    lines = F.array_sort(F.transform(F.map_entries("scalars"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))))
+    return nested_tables(table(spark, sf, "candidates"), "id", JSON_FIELDS).select("id", "field", "path", "parent_path", "table", F.array_join(lines, "\n").alias("scalars"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

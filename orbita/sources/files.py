@@ -12,16 +12,30 @@ from pyspark.sql import functions as F
 
 from orbita.functions import states as S
 
-#: Columns of a log's JSON lines; what a line doesn't have is null, a torn line is dropped.
+#: Columns of a log's JSON lines; what a line doesn't have is null.
 EVENT_SCHEMA = (
     "event string, t double, id bigint, hash string, kind string, mode string, parents array<bigint>, island int, score double, feasible boolean, valid boolean, status string, "
     "cost_usd double, tokens_in bigint, tokens_out bigint, batch int, proposals int, best_score double, best_id bigint, graphs array<struct<graph: string, score: double, failures: int>>"
 )
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one or more JSONL logs with ``run_path``, the file they are from."""
-    return spark.read.schema(EVENT_SCHEMA).option("mode", "DROPMALFORMED").json(path).withColumn("run_path", F.input_file_name())
+def read_events(spark: SparkSession, path: str, keep_bad: bool = False) -> DataFrame:
+    """Lines of one or more JSONL logs with ``run_path``, the file they are from, and ``bad_line``.
+
+    An unreadable last line of a file, which its writer has not finished, is left out. Any other unreadable line
+    is never dropped: it fails the query (``unreadable line`` in the message), or with ``keep_bad`` comes as a row of
+    nulls with its text in ``bad_line``. Large files are split by lines over tasks.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("run_path"), place.alias("place")).where(F.trim("value") != "")
+    parsed = F.from_json("value", EVENT_SCHEMA + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = lines.select("run_path", "place", parsed.alias("e")).select("e.*", "run_path", "place").withColumnRenamed("_bad", "bad_line")
+    last = lines.groupBy("run_path").agg(F.max("place").alias("place"))
+    good = rows.where("bad_line IS NULL").drop("place")
+    bad = rows.where("bad_line IS NOT NULL").join(last, ["run_path", "place"], "left_anti").select(*good.columns)
+    if not keep_bad:
+        bad = bad.where(F.raise_error(F.concat(F.lit("unreadable line of "), F.col("run_path"), F.lit(": "), F.substring("bad_line", 1, 200))).cast("boolean"))
+    return good.unionByName(bad)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -30,26 +44,56 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("graphs").alias("g")).select("g.*")
 
 
+#: Bytes of a distance file that are read together.
+BLOCK_BYTES = 1 << 20
+
+
+def _opened(path: str):
+    """A file of any file system pyarrow knows, to be read from any place."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    return system.open_input_file(at)
+
+
+def file_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file, read in blocks by one task (a digest has to be taken in order)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            total = hashlib.sha256()
+            with _opened(path) as stream:
+                while block := stream.read(64 << 20):
+                    total.update(block)
+            yield pa.RecordBatch.from_pydict({"digest": [total.hexdigest()]})
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "digest string").first()[0]
+
+
 def read_distance_file(spark: SparkSession, path: str, m: int, r: int, sha256: str | None = None) -> DataFrame:
     """``code, d`` of a dense file with one byte a state in order of rank (255: not reached, null).
 
-    Refused are files of the wrong size and, where ``sha256`` is given, of another digest; the file
-    is read in one task, its rows leave it in blocks."""
+    Refused are files of the wrong size and, where ``sha256`` is given, of another digest. Tasks read blocks of
+    the file, each at its offset, so a file of any size is read by many."""
     size = S.states(m, r)
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    there = target.getFileSystem(hadoop).getFileStatus(target).getLen()
+    if there != size:
+        raise ValueError(f"{there} bytes for {size} states")
+    if sha256 is not None and file_digest(spark, path) != sha256:
+        raise ValueError("another digest than the expected")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                if len(content) != size:
-                    raise ValueError(f"{len(content)} bytes for {size} states")
-                if sha256 is not None and hashlib.sha256(content).hexdigest() != sha256:
-                    raise ValueError("another digest than the expected")
-                d = np.frombuffer(content, np.uint8)
-                for at in range(0, size, 1 << 20):
-                    part = d[at:at + (1 << 20)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part.astype(np.int16), mask=part == 255)], names=["code", "d"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "code bigint, d smallint")
+        with _opened(path) as stream:
+            for batch in batches:
+                for block in batch.column(0).to_pylist():
+                    stream.seek(block * BLOCK_BYTES)
+                    d = np.frombuffer(stream.read(BLOCK_BYTES), np.uint8)
+                    first = block * BLOCK_BYTES
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(d))), pa.array(d.astype(np.int16), mask=d == 255)], names=["code", "d"])
+
+    return spark.range(-(-size // BLOCK_BYTES)).mapInArrow(run, "code bigint, d smallint")
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:

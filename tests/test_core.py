@@ -44,10 +44,8 @@ def test_nested_tables_equal_a_walk(spark):
     docs = [_random_json(rnd) for _ in range(300)]
     rows = [(i, json.dumps(d), "clash") for i, d in enumerate(docs)]
     df = spark.createDataFrame(rows, "id bigint, f string, path string")
-    got = {(r.id, r.path, r.parent_path) for r in nested_tables(df, "id", ["f"], values=False).collect()}
+    got = {(r.id, r.path, r.parent_path) for r in nested_tables(df, "id", ["f"]).collect()}
     assert got == {(i, p, q) for i, d in enumerate(docs) for p, q in _elements(d)}
-    full = nested_tables(df, "id", ["f"]).collect()
-    assert {(r.id, r.path, r.parent_path) for r in full} == got
 
 
 def test_nested_tables_values_and_unusual_input(spark):
@@ -61,6 +59,30 @@ def test_nested_tables_values_and_unusual_input(spark):
     assert nested_tables(df.limit(0), "id", ["f"]).count() == 0
 
 
+def test_nested_tables_long_numbers_and_deep_nesting(spark):
+    n = "7" * 5000
+    deep = "[" * 100_000 + '{"z": 1}' + "]" * 100_000
+    rows = [(1, f'[{{"n": {n}, "x": 1e400, "y": -0.10, "s": "12"}}]'), (2, deep), (3, '{"a": ' * 10_000 + '[{"k": null}]' + "}" * 10_000), (4, deep[:-1]), (5, deep + "]"), (6, "7" * 5000)]
+    got = {r.id: r for r in nested_tables(spark.createDataFrame(rows, "id bigint, f string"), "id", ["f"]).collect()}
+    assert set(got) == {1, 2, 3} and got[1].scalars == {"n": n, "x": "1e400", "y": "-0.10", "s": "12"}
+    assert got[2].path == "$" + "[0]" * 100_000 and got[2].scalars == {"z": "1"} and got[2].parent_path == "$"
+    assert got[3].path == "$" + ".a" * 10_000 + "[0]" and got[3].scalars == {"k": None}
+
+
+def test_the_reader_for_deep_texts_reads_what_the_parser_reads():
+    from orbita.operators.shredding import _read_deep, parse_json
+
+    good = ['{"a": [1, -2.5e3, {"b": "x\\n\\u00e9"}], "c": {}, "d": [[], true, false, null]}', " 1 ", '""', "[]", "{}", "[NaN]", '{"a": 1, "a": 2}']
+    assert all(_read_deep(t) == parse_json(t) for t in good)
+    for bad in ("", "[", "[1,]", "{,}", '{"a" 1}', '{"a": 1,}', "[1 2]", "1 2", "01", "[}", "{1: 2}", '"a', "tru", "[1]]", '{"a": }', '["\x01"]'):
+        for read in (_read_deep, parse_json):
+            try:
+                read(bad)
+            except ValueError:
+                continue
+            raise AssertionError((read, bad))
+
+
 def test_levels(spark):
     df = spark.createDataFrame([(1, '{"a": [{"b": [1, 2]}, {"c": 0}, {"b": []}]}')], "id bigint, f string")
     got = [(r.rep, r["def"], r.value) for r in level_columns(df, "id", "f").where("path = '$.a[].b[]'").orderBy("entry").collect()]

@@ -76,12 +76,19 @@ def test_sources(spark, tmp_path):
     (tmp_path / "events.jsonl").write_text('{"event": "candidate", "id": 1, "score": 2.5}\n{"event": "batch", "batch": 3}\n{"event": "cand')
     got = read_events(spark, str(tmp_path / "events.jsonl")).orderBy("event").collect()
     assert [(r.event, r.id, r.batch) for r in got] == [("batch", None, 3), ("candidate", 1, None)]
+    (tmp_path / "bad.jsonl").write_text('{"event": "a"}\n{"event": "cand\n\n{"event": "b"}\n')
+    with pytest.raises(Exception, match="unreadable line"):
+        read_events(spark, str(tmp_path / "bad.jsonl")).count()
+    got = read_events(spark, str(tmp_path / "*.jsonl"), keep_bad=True).collect()
+    assert sorted(r.event or r.bad_line for r in got) == ["a", "b", "batch", "candidate", '{"event": "cand']
     (tmp_path / "registry.json").write_text(json.dumps({"version": 1, "graphs": [{"m": 3, "r": 2, "role": "sanity", "table": True}]}))
     assert [tuple(r) for r in read_registry(spark, str(tmp_path / "registry.json")).collect()] == [(3, 2, "sanity", True)]
     (tmp_path / "d.bin").write_bytes(bytes([0, 1, 255, 2, 3, 4]))
     assert [r.d for r in read_distance_file(spark, str(tmp_path / "d.bin"), 3, 0).orderBy("code").collect()] == [0, 1, None, 2, 3, 4]
     with pytest.raises(Exception, match="digest"):
-        read_distance_file(spark, str(tmp_path / "d.bin"), 3, 0, "00").count()
+        read_distance_file(spark, str(tmp_path / "d.bin"), 3, 0, "00")
+    with pytest.raises(ValueError, match="bytes"):
+        read_distance_file(spark, str(tmp_path / "d.bin"), 3, 1)
     write_table(spark.range(3), str(tmp_path / "t"))
     with pytest.raises(Exception, match="exist"):
         write_table(spark.range(3), str(tmp_path / "t"))
