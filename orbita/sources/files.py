@@ -32,9 +32,10 @@ def read_events(spark: SparkSession, path: str, keep_bad: bool = False) -> DataF
     rows = lines.select("run_path", "place", parsed.alias("e")).select("e.*", "run_path", "place").withColumnRenamed("_bad", "bad_line")
     last = lines.groupBy("run_path").agg(F.max("place").alias("place"))
     good = rows.where("bad_line IS NULL").drop("place")
-    bad = rows.where("bad_line IS NOT NULL").join(last, ["run_path", "place"], "left_anti").select(*good.columns)
-    if not keep_bad:
-        bad = bad.where(F.raise_error(F.concat(F.lit("unreadable line of "), F.col("run_path"), F.lit(": "), F.substring("bad_line", 1, 200))).cast("boolean"))
+    bad = rows.where("bad_line IS NOT NULL").join(last.withColumn("torn", F.lit(True)), ["run_path", "place"], "left")
+    complain = F.raise_error(F.concat(F.lit("unreadable line of "), F.col("run_path"), F.lit(": "), F.substring("bad_line", 1, 200))).cast("boolean")
+    whole = F.col("torn").isNull()
+    bad = bad.where(whole if keep_bad else F.when(whole, complain).otherwise(False)).select(*good.columns)
     return good.unionByName(bad)
 
 
