@@ -70,7 +70,9 @@ def cut_in_place(df: DataFrame, key: str) -> DataFrame:
     buckets = min(max(1, df.rdd.getNumPartitions()), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
     df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
     atexit.register(lambda: _drop(spark, name))
-    return spark.table(name)
+    out = spark.table(name)
+    out._orbita_name, out._orbita_buckets = name, buckets
+    return out
 
 
 def _drop(spark: SparkSession, name: str) -> None:

@@ -36,7 +36,7 @@ _TOKEN = re.compile(r'''[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(
 _NAMED = {"true": True, "false": False, "null": None}
 
 
-def _tokens(text: str) -> Iterator:
+def _tokens(text: str, constant_of=Number) -> Iterator:
     """Marks as one-letter strings, values as one-tuples."""
     at, end = 0, len(text.rstrip(" \t\n\r"))
     while at < end:
@@ -45,15 +45,15 @@ def _tokens(text: str) -> Iterator:
             raise ValueError(at)
         at = found.end()
         mark, string, number, named, constant = found.groups()
-        yield mark or (json.loads(string) if string else Number(number or constant) if number or constant else _NAMED[named],)
+        yield mark or (json.loads(string) if string else Number(number) if number else constant_of(constant) if constant else _NAMED[named],)
 
 
-def _read_deep(text: str):
+def _read_deep(text: str, constant=Number):
     """The value of a JSON text nested beyond what the parser can hold: a stack instead of recursion."""
     stack: list = []  # open arrays and objects
     names: list = []  # the name that waits for its value, of each open object
     value, want = _MISSING, "value"
-    for token in _tokens(text):
+    for token in _tokens(text, constant):
         if want == "end":
             raise ValueError(text[:20])
         done = _MISSING
@@ -95,12 +95,18 @@ def _read_deep(text: str):
     return value
 
 
-def parse_json(text: str):
-    """The value of a JSON text, its numbers as written; ValueError where it is not one complete value."""
+def _refused(name: str):
+    raise ValueError(name)
+
+
+def parse_json(text: str, strict: bool = False):
+    """The value of a JSON text, its numbers as written; ValueError where it is not one complete value.
+    NaN and the infinities, which many writers write, are numbers unless ``strict``."""
+    constant = _refused if strict else Number
     try:
-        return json.loads(text, parse_int=Number, parse_float=Number, parse_constant=Number)
+        return json.loads(text, parse_int=Number, parse_float=Number, parse_constant=constant)
     except RecursionError:
-        return _read_deep(text)
+        return _read_deep(text, constant)
 
 
 def read_json(text: str | None):
