@@ -1,36 +1,31 @@
 """Records that differ in layout only, collapsed by exact grouping of possible repeats.
 
-A record's canonical form is hashed. Every partition keeps two Bloom filters of those hashes, one
-of hashes seen at least once and one of hashes seen again; merged over partitions, the second also
-takes every bit that two partitions' first filters share. A hash that is not in the merged second
-filter was seen exactly once: its record is a class of its own and is never shuffled. All others
-are grouped exactly. The filter has a fixed greatest size, so that it can be broadcast whatever the
-input; when it is too small for the data it only lets more records through to the exact grouping.
+A record's canonical form is hashed. Every slice of records (see :mod:`orbita.llm.exchange`) makes a Bloom filter
+of the hashes it has; filters are merged block by block into one of hashes seen at least once and one of hashes
+seen again, which takes every bit that two slices share or one slice has twice. A block covers a range of the hash
+space and there are as many blocks as the records need, so the filters never fill up; each slice gets the second
+filter back at its own bits only. A hash that is not in it was seen exactly once: its record is a class
+of its own. Of all others each slice sends one row per distinct form, with its smallest id and its number of
+copies, to be grouped exactly: a form that a third of all records have is as many rows as there are slices.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbita.functions.runtime import cut
+from orbita.llm.exchange import SLICE_ROWS, Slices, answered, ask, range_bits, slice_numbers
+from orbita.operators.shredding import parse_json
 
-#: Bits of a block of the filters; blocks are merged in parallel.
-BLOCK_BITS = 1 << 19
-#: The merged filter never has more bits than this (32 MB).
-MAX_BITS = 1 << 28
-BITS_PER_ROW = 16
-PROBES = 4
-#: Classes of more copies than this are joined back by broadcast: there are at most rows / HOT of them.
-HOT = 1_000_000
+#: Bits of the filters for each record, of which one is set: a record alone is taken for a possible repeat in one of so many cases.
+BITS_PER_ROW = 32
 
 _NO_ALNUM = re.compile(r"[^A-Za-z0-9]+")
 
@@ -39,46 +34,35 @@ def _plain(text: str) -> str:
     return _NO_ALNUM.sub("", text).lower()
 
 
-def _refuse(name: str):
-    raise ValueError(name)
-
-
 def json_form(text: str) -> str | None:
     """Canonical form of a text that is one JSON object as a whole, else None.
 
     Names and single values keep their ASCII letters and digits, case ignored (numbers as they are
-    written); fields are sorted; of a name repeated in one object the last counts.
+    written); fields are sorted; of a name repeated in one object the last counts. Nesting may be of any depth.
     """
     try:
-        value = json.loads(text, parse_int=str, parse_float=str, parse_constant=_refuse)
-    except (ValueError, RecursionError):
-        return None
-    if type(value) is not dict:
-        return None
-    out: list[str] = []
-    try:
-        _write(value, out)
-    except RecursionError:
+        value = parse_json(text, strict=True)
+    except ValueError:
         return None
-    return "".join(out)
-
-
-def _write(value, out: list[str]) -> None:
-    if type(value) is dict:
-        parts = []
-        for k, v in value.items():
-            own: list[str] = [_plain(k), ":"]
-            _write(v, own)
-            parts.append("".join(own))
-        out.append("{" + ",".join(sorted(parts)) + "}")
-    elif type(value) is list:
-        out.append("[")
-        for v in value:
-            _write(v, out)
-            out.append(",")
-        out.append("]")
-    else:
-        out.append(_plain(value) if type(value) is str else {True: "true", False: "false", None: "null"}[value])
+    return _form(value) if type(value) is dict else None
+
+
+def _form(value) -> str:
+    """Written from the inside out, with a stack: an open value waits until the forms of its parts are there."""
+    done: list[str] = []
+    todo: list = [(value, False)]
+    while todo:
+        v, parts_there = todo.pop()
+        if type(v) is not dict and type(v) is not list:
+            done.append(_plain(v) if isinstance(v, str) else {True: "true", False: "false", None: "null"}[v])
+        elif not parts_there:
+            todo.append((v, True))
+            todo += [(x, False) for x in reversed(v.values() if type(v) is dict else v)]
+        else:
+            parts = done[len(done) - len(v):]
+            del done[len(done) - len(v):]
+            done.append("{" + ",".join(sorted(f"{_plain(k)}:{x}" for k, x in zip(v, parts))) + "}" if type(v) is dict else "[" + "".join(x + "," for x in parts) + "]")
+    return done[0]
 
 
 _BLANKS = " \t\r\n"
@@ -100,83 +84,95 @@ def canonical_digest(text: str | None) -> bytes | None:
     return hashlib.sha256(plain).digest()
 
 
-def canonical_keys(df: DataFrame, id_col: str, source_col: str) -> DataFrame:
-    """``id, key`` (32 bytes), ``h`` (bigint hash of the key) of the rows that take part."""
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("key", T.BinaryType()), T.StructField("h", T.LongType())])
+def _packed(df: DataFrame, id_col: str, source_col: str) -> DataFrame:
+    """Slices of the records that take part: ``slice, n, ids, keys``, in order of key and id; a key has 32 bytes."""
+    kind = df.schema[id_col].dataType
+    schema = T.StructType([T.StructField("slice", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("keys", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [canonical_digest(t) for t in batch.column(1).to_pylist()]
-            key = pa.array(keys, pa.binary())
-            took = key.is_valid()
-            h = np.frombuffer(b"".join(k[:8] for k in keys if k is not None), "<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(took), key.filter(took), pa.array(h)], names=["id", "key", "h"])
-
-    return df.where(df[id_col].isNotNull() & df[source_col].isNotNull()).select(df[id_col], df[source_col].cast("string")).mapInArrow(run, schema)
-
+        numbers = slice_numbers()
+        held: list[pa.Table] = []
+
+        def slices(least: int) -> Iterator[pa.RecordBatch]:
+            while sum(t.num_rows for t in held) >= least:
+                both = pa.concat_tables(held)
+                own, rest = both.slice(0, SLICE_ROWS), both.slice(SLICE_ROWS)
+                held[:] = [rest]
+                own = own.sort_by([("key", "ascending"), ("id", "ascending")]).combine_chunks()
+                ids = own.column("id").combine_chunks()
+                ends = pa.array([0, len(ids)], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([next(numbers)]), pa.array([len(ids)], pa.int32()), pa.ListArray.from_arrays(ends, ids), pa.array([b"".join(own.column("key").to_pylist())], pa.binary())], names=schema.names)
 
-def bits_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES bit numbers of each hash, all in one block."""
-    h = hashes.astype(np.uint64)
-    size = min(bits, BLOCK_BITS)
-    block = (h >> np.uint64(40)) % np.uint64(bits // size)
-    step = ((h >> np.uint64(20)) | np.uint64(1)) & np.uint64(0xFFFFF)
-    at = (h & np.uint64(0xFFFFF))[:, None] + step[:, None] * np.arange(1, PROBES + 1, dtype=np.uint64)[None, :]
-    return block[:, None] * np.uint64(size) + at % np.uint64(size)
-
-
-def has_all(filled: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return ((filled[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-
-
-def _set(filled: np.ndarray, at: np.ndarray) -> None:
-    at = at.ravel()
-    np.bitwise_or.at(filled, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
-
-
-def bloom_filter(hashes: DataFrame, rows: int, repeated: bool) -> tuple[bytes, int]:
-    """The merged filter of the hashes of the bigint column ``h`` that are there, or with ``repeated`` of
-    those that are there more than once; and its number of bits."""
-    bits = 1 << 13
-    while bits < min(MAX_BITS, rows * BITS_PER_ROW):
-        bits *= 2
-    block = min(bits, BLOCK_BITS) // 8
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own, counts = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_counts=True)
-            at = bits_of(own, bits)
-            _set(again, at[(counts > 1) | has_all(once, at)])
-            _set(once, at)
-        for k in range(len(once) // block):
-            if once[k * block:(k + 1) * block].any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "once": [once[k * block:(k + 1) * block].tobytes()], "again": [again[k * block:(k + 1) * block].tobytes()]})
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+            key = pa.array([canonical_digest(t) for t in batch.column(1).to_pylist()], pa.binary())
+            took = key.is_valid()
+            held.append(pa.table({"id": batch.column(0).filter(took), "key": key.filter(took)}))
+            yield from slices(SLICE_ROWS)
+        if held:
+            yield from slices(1)
+
+    return df.where(df[id_col].isNotNull() & df[source_col].isNotNull()).select(df[id_col].alias("id"), df[source_col].cast("string").alias("source")).mapInArrow(run, schema)
+
+
+def _runs(keys: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key of a slice begins, and its hash: the key's first 64 bits."""
+    blocks = np.frombuffer(keys, np.uint8).reshape(-1, 32)
+    fresh = np.ones(len(blocks), bool)
+    fresh[1:] = (blocks[1:] != blocks[:-1]).any(axis=1)
+    starts = np.flatnonzero(fresh)
+    return starts, np.ascontiguousarray(blocks[starts, :8]).view(">u8").ravel().astype(np.uint64)
+
+
+def _set_bits(keys: bytes, n: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice: the bits its filter has set, how many records set each, where its keys begin, and the bit of each."""
+    starts, hashes = _runs(keys)
+    bit = hashes >> np.uint64(64 - bits)
+    fresh = np.ones(len(bit), bool)
+    fresh[1:] = bit[1:] != bit[:-1]
+    return bit[fresh], np.diff(np.append(starts[fresh], n)).astype(np.uint64), starts, np.cumsum(fresh) - 1
+
+
+def _merged(sent: list) -> list:
+    """One block of the filters merged over the slices; of each slice's bits, whether the second filter has them."""
+    low = min(int(k[0]) for k, _ in sent)
+    once = np.zeros(max(int(k[-1]) for k, _ in sent) - low + 1, bool)
+    again = np.zeros(len(once), bool)
+    for bits, counts in sent:
+        at = (bits - np.uint64(low)).astype(np.int64)
+        again[at] |= once[at] | (counts > 1)
+        once[at] = True
+    return [again[(bits - np.uint64(low)).astype(np.int64)].view(np.uint8) for bits, _ in sent]
+
+
+def possible_repeats(slices: Slices, kind: T.DataType) -> DataFrame:
+    """``slice, run, key, least, n``: of each slice the distinct keys that the second filter has, with their place,
+    smallest id and number of records."""
+    rows = slices.rows.agg(F.sum("n")).first()[0] or 0
+    bits = max(1, rows * BITS_PER_ROW).bit_length()
+    shift = bits - range_bits(rows, bits)
+
+    def keys_of(row: dict) -> list:
+        bit, counts, _, _ = _set_bits(row["keys"].as_py(), row["n"].as_py(), bits)
+        return [(0, bit, counts)]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, o, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                o, a = np.frombuffer(o, np.uint8), np.frombuffer(a, np.uint8)
-                if k in held:
-                    once, again = held[k]
-                    again |= a | (once & o)
-                    once |= o
-                else:
-                    held[k] = [o.copy(), a.copy()]
-        for k, (once, again) in held.items():
-            own = again if repeated else once
-            if own.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "filled": [own.tobytes()]})
-
-    local = hashes.mapInArrow(build, "block int, once binary, again binary")
-    merged = local.repartition("block").mapInArrow(merge, "block int, filled binary")
-    whole = bytearray(bits // 8)
-    for r in merged.toLocalIterator():  # at most MAX_BITS bits, one block at a time
-        whole[r["block"] * block:(r["block"] + 1) * block] = r["filled"]
-    return bytes(whole), bits
+            for k in range(batch.num_rows):
+                number, n, keys = (batch.column(c)[k].as_py() for c in ("slice", "n", "keys"))
+                bit, _, starts, bit_of = _set_bits(keys, n, bits)
+                run = np.flatnonzero(answered(batch.column("answers")[k].as_py(), 0, bit, shift)[bit_of])
+                if len(run):
+                    ids = batch.column("ids")[k].values
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(run), number)), pa.array(run.astype(np.int32)), pa.array([keys[32 * i:32 * i + 32] for i in starts[run].tolist()], pa.binary()),
+                            ids.take(pa.array(starts[run])), pa.array(np.diff(np.append(starts, n))[run]),
+                        ],
+                        names=schema.names,
+                    )
+
+    schema = T.StructType([T.StructField("slice", T.LongType()), T.StructField("run", T.IntegerType()), T.StructField("key", T.BinaryType()), T.StructField("least", kind), T.StructField("n", T.LongType())])
+    return slices.bring(ask(slices.rows, keys_of, bits, rows, _merged)).mapInArrow(pick, schema)
 
 
 def copy_classes(df: DataFrame, id_col: str, source_col: str) -> DataFrame:
@@ -189,23 +185,27 @@ def copy_classes(df: DataFrame, id_col: str, source_col: str) -> DataFrame:
     letter or digit and null ids take no part. Rows that repeat an id count as copies of each other.
     Other columns are not read. Empty tables give an empty result.
     """
-    keyed = cut(canonical_keys(df, id_col, source_col))
-    filled, bits = bloom_filter(keyed.select("h"), keyed.count(), repeated=True)
-    shared = keyed.sparkSession.sparkContext.broadcast(filled)
+    kind = df.schema[id_col].dataType
+    slices = Slices(_packed(df, id_col, source_col))
+    of_key = Window.partitionBy("key")
+    classes = possible_repeats(slices, kind).select("slice", "run", F.min("least").over(of_key).alias("first_id"), F.sum("n").over(of_key).alias("copies"), F.count("*").over(of_key).alias("slices"))
+    schema = T.StructType([T.StructField("id", kind), T.StructField("first_id", kind), T.StructField("copies", T.LongType())])
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(shared.value, np.uint8)
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            again = has_all(held, bits_of(batch.column(2).to_numpy(zero_copy_only=False), bits))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(again)], names=["id", "key", "again"])
-
-    marked = keyed.mapInArrow(mark, T.StructType([*keyed.schema.fields[:2], T.StructField("again", T.BooleanType())]))
-    # The marks are cheap to make again, so the two branches don't share them.
-    single = marked.where(~F.col("again")).select("id", F.col("id").alias("first_id"), F.lit(1).cast("bigint").alias("copies"))
-    possible = marked.where(F.col("again")).select("id", "key")
-    classes = possible.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).withColumnRenamed("key", "k")
-    hot = F.broadcast(classes.where(F.col("copies") > HOT))  # at most rows / HOT rows
-    cold = classes.where(F.col("copies") <= HOT)
-    in_hot = possible.join(hot, possible["key"] == hot["k"]).select("id", "first_id", "copies")
-    in_cold = possible.join(cold, possible["key"] == cold["k"]).select("id", "first_id", "copies")
-    return single.unionByName(in_hot).unionByName(in_cold)
+            for k in range(batch.num_rows):
+                starts, _ = _runs(batch.column("keys")[k].as_py())
+                ids = batch.column("ids")[k].values
+                sizes = np.diff(np.append(starts, len(ids)))
+                first, source, copies = ids, starts.copy(), sizes.astype(np.int64)
+                told = batch.column("answers")[k]
+                if told.is_valid:
+                    told = told.values
+                    run = told.field("run").to_numpy(zero_copy_only=False)
+                    first = pa.concat_arrays([ids, told.field("first_id")])
+                    source[run] = len(ids) + np.arange(len(run))
+                    copies[run] = told.field("copies").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([ids, first.take(pa.array(np.repeat(source, sizes))), pa.array(np.repeat(copies, sizes))], names=schema.names)
+
+    # Only forms that more than one slice has need an answer; a slice knows all about the others.
+    return slices.bring(classes.where("slices > 1").drop("slices")).mapInArrow(assign, schema)

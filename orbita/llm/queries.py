@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbita.functions.runtime import cut, table
+from orbita.functions.runtime import table
 from orbita.llm.bpe import token_counts, token_ids
 from orbita.llm.copies import copy_classes
 from orbita.llm.mixture import draw_mixture
@@ -27,21 +27,21 @@ def p3_records(spark: SparkSession, sf: str) -> DataFrame:
     return copy_classes(table(spark, sf, "candidates"), "id", "source").where("id = first_id").select("id", "copies")
 
 
-def _near(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "candidates")
-    classes = copy_classes(rows, "id", "source")
-    # Only the first of each group of copies takes part; whoever has no class takes no part either.
-    out = rows.select("id").join(classes.where("id = first_id").select("id"), "id", "left_anti")
-    return near_pairs(rows, "id", ["source", "source_diff"], leave_out=out, width=3)
+def _left_out(rows: DataFrame) -> DataFrame:
+    """Only the first of each group of copies takes part; who takes no part there takes none here either."""
+    copies = copy_classes(rows, "id", "source").where("id <> first_id").select("id")
+    return copies.unionByName(rows.where(~F.coalesce(F.col("source").rlike("[A-Za-z0-9]"), F.lit(False))).select("id"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _near(spark, sf)
+    rows = table(spark, sf, "candidates")
+    return near_pairs(rows, "id", ["source", "source_diff"], leave_out=_left_out(rows), width=3)
 
 
 def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Of each candidate with a near-duplicate: its group (smallest id) and its number of links."""
-    return near_groups(table(spark, sf, "candidates"), "id", _near(spark, sf))
+    rows = table(spark, sf, "candidates")
+    return near_groups(rows, "id", ["source", "source_diff"], leave_out=_left_out(rows), width=3)
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:

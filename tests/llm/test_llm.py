@@ -7,9 +7,11 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orbita.llm.bpe import default_tokenizer, encode_words, load_merges, token_counts, token_ids
-from orbita.llm.copies import canonical_digest, copy_classes
+from orbita.llm.copies import _packed, canonical_digest, copy_classes, possible_repeats
+from orbita.llm.exchange import Slices
 from orbita.llm.mixture import draw_mixture
 from orbita.llm.near import components, near_groups, near_pairs
 from orbita.llm.topn import top_n
@@ -46,6 +48,38 @@ def test_json_values_are_compared_by_structure():
     same = canonical_digest('{"a": ["bc"]}')
     assert same != canonical_digest('{"a": ["b", "c"]}') and same == canonical_digest(' {"A":["b-C"]}') and canonical_digest(" { ") is None
     assert canonical_digest('{"x": NaN}') == canonical_digest("x nan")
+    deep = lambda a, b: '{"a": ' * 20_000 + f'{{"{a}": 1, "{b}": 2}}' + "}" * 20_000
+    assert canonical_digest(deep("p", "q")) != canonical_digest(deep("p", "r"))
+    assert canonical_digest(deep("p", "q")) == canonical_digest(deep("q", "p").replace("1", "3").replace("2", "1").replace("3", "2"))
+
+
+def _hashed(spark, rows, each):
+    """Slices of keys that are nothing but hashes, each ``each`` times."""
+    keys = spark.range(rows).select(F.col("id"), F.concat(F.lit("k"), (F.col("id") % (rows // each)).cast("string")).alias("source")).repartition(7)
+    return Slices(_packed(keys, "id", "source"))
+
+
+def test_filters_grow_with_the_records(spark, monkeypatch):
+    from orbita.llm import exchange
+
+    # The filters are made of blocks of RANGE_KEYS records: here as if for 16 times as many blocks as one filter of 2^28 bits had.
+    monkeypatch.setattr(exchange, "RANGE_KEYS", 1 << 9)
+    alone = possible_repeats(_hashed(spark, 200_000, 1), T.LongType())
+    assert alone.count() < 0.05 * 200_000
+    twice = possible_repeats(_hashed(spark, 20_000, 2), T.LongType()).groupBy("key").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    assert twice.where("n = 2").count() == 10_000 and twice.where("n = 2").agg(F.max("least")).first()[0] == 9_999
+
+
+def test_copies_over_many_slices(spark, monkeypatch):
+    from orbita.llm import copies
+
+    monkeypatch.setattr(copies, "SLICE_ROWS", 100)
+    many = spark.range(6000).select(F.format_string("i%05d", "id").alias("id"), F.when(F.col("id") % 3 == 0, F.lit("same")).when(F.col("id") % 3 == 1, F.concat(F.lit("p "), (F.col("id") % 500).cast("string"))).otherwise(F.concat(F.lit("v"), "id")).alias("source")).repartition(5)
+    got = {r.id: (r.first_id, r.copies) for r in copy_classes(many, "id", "source").collect()}
+    by = {}
+    for r in many.collect():
+        by.setdefault(r.source, []).append(r.id)
+    assert got == {i: (min(v), len(v)) for v in by.values() for i in v}
 
 
 def _triples(text, width):
@@ -72,11 +106,37 @@ def test_near_pairs(spark, width):
     want = {(f, i, j) for (f, i), s in sets.items() for (g, j), z in sets.items() if f == g and i < j and 5 * len(s & z) >= 4 * len(s | z)}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
     if width == 3:
-        groups = near_groups(df, "id", pairs).collect()
-        assert sum(r.links for r in groups) == 2 * len(want) and all(r.group_id <= r.id for r in groups)
+        links, least = {}, {(f, i): i for f, i in sets}
+        for f, i, j in want:
+            links[f, i], links[f, j] = links.get((f, i), 0) + 1, links.get((f, j), 0) + 1
+        for _ in want:
+            for f, i, j in want:
+                least[f, i] = least[f, j] = min(least[f, i], least[f, j])
+        groups = near_groups(df, "id", ["source", "other"], leave_out=out, width=width).collect()
+        assert {(r.field, r.id): (r.group_id, r.links) for r in groups} == {k: (least[k], n) for k, n in links.items()} and len(groups) == len(links)
         assert near_pairs(df.limit(0), "id", ["source"]).count() == 0
 
 
+def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
+    from orbita.llm import near
+
+    monkeypatch.setattr(near, "HOT_LIST", 3)
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice("pqrs") if rnd.random() < 0.03 else f"w{i}" for i in range(50)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, source string").repartition(3)
+    sets = [_triples(t, 3) for t in texts]
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    got = [(r.id_a, r.id_b) for r in near_pairs(df, "id", ["source"], width=3).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_many_documents_with_the_same_shingles(spark):
+    base = " ".join(f"w{i}" for i in range(30))
+    df = spark.range(20_001).select("id", F.when(F.col("id") == 20_000, F.lit(base.replace("w29", "x"))).otherwise(F.concat(F.lit(base), F.repeat(F.lit("."), (F.col("id") % 7).cast("int")))).alias("source"))
+    groups = near_groups(df, "id", ["source"], width=3)
+    assert groups.agg(F.count("*"), F.min("links"), F.max("links"), F.max("group_id")).first() == (20_001, 20_000, 20_000, 0)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (100, 102)]
     got = {r.id: r.group_id for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
