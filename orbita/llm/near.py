@@ -223,7 +223,7 @@ class _Maps:
                     there = np.flatnonzero(n)
                     if len(there):
                         start = (np.cumsum(n) - n)[there]
-                        d1, d2 = (np.add.reduceat(_mix(held.tokens[field] + seed), start).view(np.int64) for seed in (_BASE, _BASE * np.uint64(3)))
+                        d1, d2 = (np.add.reduceat(_mix(held.tokens[field] + seed), start).view(np.int64) for seed in (_BASE, _LOW48))
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(len(there), field, np.int32)), pa.array(held.ids[there]), pa.array((held.slice << 16) + there), pa.array(n[there].astype(np.int32)), pa.array(d1), pa.array(d2)],
                             names=["field", "id", "loc", "n", "d1", "d2"],
