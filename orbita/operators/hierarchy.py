@@ -1,11 +1,10 @@
 """Parent-child rows to full hierarchies: path, depth, root, descendants, cycles.
 
 Levels are reached from the roots by frontier joins whose stride doubles: in round ``i`` every node
-not yet reached knows its ancestor ``2^i`` levels up, and all nodes of the levels ``2^i`` to
-``2^(i+1) - 1`` are reached by one equi-join with the nodes reached before. So a lineage of depth d
-takes log2(d) + 2 joins instead of d. A round that reaches nobody proves that no deeper level
-exists; whatever is left then never ends, i.e. lies on or below a cycle. Paths are built by the
-same joins, over nodes of trees only, so that lineages without an end never grow one.
+not yet reached knows its ancestor ``2^i`` levels up and the ids between, and all nodes of the levels ``2^i`` to
+``2^(i+1) - 1`` are reached by one equi-join, which gives them root, depth and path at once; the others learn from the
+same join their ancestor ``2^(i+1)`` levels up. So a lineage of depth d takes log2(d) + 2 joins instead of d. A round
+that reaches nobody proves that no deeper level exists; whatever is left then never ends, i.e. lies on or below a cycle.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbita.functions.runtime import cut
+from orbita.functions.runtime import cut, free
 
 
 def _linked(df: DataFrame, id_col: str, parent_col: str, run_col: str) -> DataFrame:
@@ -28,65 +27,47 @@ def _linked(df: DataFrame, id_col: str, parent_col: str, run_col: str) -> DataFr
     return nodes.where("p IS NOT NULL").join(there, F.col("p") == F.col("up"), "left").select("id", "up", "run").unionByName(none)
 
 
-def _climb(linked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(id, root, depth)`` of the nodes of trees, and ``(id, ptr)`` of those that never end.
-
-    ``ptr`` is the ancestor ``stride`` levels up of a node not yet reached, null once it is."""
+def _climb(linked: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``id, root, run, depth, path`` (an array of ids) of the nodes of trees; ``id, ptr`` of those that never end, where
+    ``ptr`` is an ancestor some levels up, the same number for all; None if there are none of these."""
     top = F.col("up").isNull()
-    done = linked.where(top).select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
-    waiting = linked.where(~top).select("id", F.col("up").alias("ptr"))
-    stride = 1
+    done = linked.where(top).select("id", F.col("id").alias("root"), "run", F.lit(0).alias("depth"), F.array("id").alias("path"))
+    waiting = linked.where(~top).select("id", F.col("up").alias("ptr"), F.array("id").alias("path"))
+    kind, stride = linked.schema["id"].dataType, 1
     while True:
-        reached = waiting.join(done.select(F.col("id").alias("ptr"), "root", (F.col("depth") + stride).alias("depth")), "ptr", "left").select("id", "ptr", "root", "depth")
-        reached = cut(reached)
-        n, left = reached.agg(F.count("root"), F.count(F.when(F.col("root").isNull(), 1))).first()
-        done = _narrow(done.unionByName(reached.where(F.col("root").isNotNull()).select("id", "root", "depth")))
-        waiting = reached.where(F.col("root").isNull()).select("id", "ptr")
-        if not n or not left:
-            return done, waiting
-        # Their ancestors had no root before this round either, so each of them has a pointer.
-        waiting = waiting.join(reached.select(F.col("id").alias("ptr"), F.col("ptr").alias("next")), "ptr").select("id", F.col("next").alias("ptr"))
+        none = lambda c, t: F.lit(None).cast(t).alias(c)
+        above = done.select(F.col("id").alias("ptr"), "root", "run", "depth", F.col("path").alias("above"), none("next", kind))
+        above = above.unionByName(waiting.select(F.col("id").alias("ptr"), none("root", kind), none("run", linked.schema["run"].dataType), none("depth", "int"), F.col("path").alias("above"), F.col("ptr").alias("next")))
+        # Every pointer names a node, so the inner join loses none.
+        met = cut(waiting.join(above, "ptr").select("id", F.col("next").alias("ptr"), "root", "run", (F.col("depth") + stride).alias("depth"), F.concat("above", "path").alias("path")))
+        left, all_met = met.agg(F.count("ptr"), F.count("*")).first()
+        done = _narrow(done.unionByName(met.where("ptr IS NULL").select("id", "root", "run", "depth", "path")))
+        waiting = met.where("ptr IS NOT NULL").select("id", "ptr", "path")
+        if not left or left == all_met:
+            return done, waiting.select("id", "ptr") if left else None
         stride *= 2
 
 
 def _narrow(df: DataFrame) -> DataFrame:
-    """A union of many small checkpoints in no more tasks than a shuffle has."""
+    """A union of many small tables in no more tasks than a shuffle has."""
     return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _paths(tree: DataFrame) -> DataFrame:
-    """``id, root, run, depth`` and ``path`` of tree nodes, by doubling segments: in each round the
-    nodes of depth below ``stride`` have their whole path, the others the last ``stride`` ids."""
-    keep = cut(tree.select("id", "root", "depth", "run", "up"))
-    done = keep.where(F.col("up").isNull()).select("id", F.col("id").cast("string").alias("path"))
-    part = keep.where(F.col("up").isNotNull()).select("id", "depth", F.col("up").alias("ptr"), F.col("id").cast("string").alias("path"))
-    deepest = keep.agg(F.max("depth")).first()[0] or 0
-    stride = 1
-    while stride <= deepest:
-        table = done.select(F.col("id").alias("ptr"), F.col("path").alias("above"), F.lit(None).cast(keep.schema["id"].dataType).alias("next"))
-        table = table.unionByName(part.select(F.col("id").alias("ptr"), F.col("path").alias("above"), F.col("ptr").alias("next")))
-        longer = cut(part.join(table, "ptr").select("id", "depth", F.col("next").alias("ptr"), F.concat_ws("/", "above", "path").alias("path")))
-        stride *= 2
-        done = _narrow(done.unionByName(longer.where(F.col("depth") < stride).select("id", "path")))
-        part = longer.where(F.col("depth") >= stride)
-    return keep.select("id", "root", "run", "depth").join(done, "id")
-
-
-def _on_cycle(endless: DataFrame, linked: DataFrame) -> DataFrame:
+def _on_cycle(endless: DataFrame) -> DataFrame:
     """``id`` of the nodes that are among their own ancestors.
 
     The nodes reached after k steps from any endless node only get fewer as k doubles; once their
     number stays, every one of them lies on a cycle, and all nodes of cycles are among them.
     """
-    jump = cut(linked.join(endless.select("id"), "id", "left_semi").select("id", F.col("up").alias("ptr")))
-    before = -1
+    jump, older, before = endless, None, -1
     while True:
         image = jump.agg(F.count_distinct("ptr")).first()[0]
         if image == before:
             return jump.select(F.col("ptr").alias("id")).distinct()
         before = image
-        table = jump.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"))
-        jump = cut(jump.join(table, "ptr").select("id", F.col("next").alias("ptr")))
+        further = jump.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"))
+        older, jump = (jump if jump is not endless else None), cut(jump.join(further, "ptr").select("id", F.col("next").alias("ptr")))
+        free(older)
 
 
 def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", run_col: str = "run_id") -> DataFrame:
@@ -103,19 +84,16 @@ def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
     up map-side, so a root above a third of all rows is no hot key.
     """
     linked = cut(_linked(df, id_col, parent_col, run_col))
-    trees, endless = _climb(linked)
-    tree = _paths(trees.join(linked, "id"))
-    pairs = tree.where(F.col("depth") > 0).select(F.explode(F.expr("slice(split(path, '/'), 1, depth)")).alias("a"))
+    tree, endless = _climb(linked)
     kind = linked.schema["id"].dataType
-    below = pairs.groupBy("a").agg(F.count("*").cast("int").alias("descendants")).select(F.col("a").cast(kind).alias("id"), "descendants")
-    runs = linked.where(F.col("up").isNull()).select(F.col("id").alias("root"), F.col("run").alias("root_run"))
-    out = (
-        tree.join(below, "id", "left").join(runs, "root")
-        .select("id", F.lit("tree").alias("state"), F.col("root").alias("root_id"), F.col("root_run").alias("root_run_id"), "depth", "path", F.coalesce("descendants", F.lit(0)).alias("descendants"))
+    below = tree.where("depth > 0").select(F.explode(F.slice("path", F.lit(1), F.col("depth"))).alias("id")).groupBy("id").agg(F.count("*").cast("int").alias("descendants"))
+    out = tree.join(below, "id", "left").select(
+        "id", F.lit("tree").alias("state"), F.col("root").alias("root_id"), F.col("run").alias("root_run_id"), "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"),
+        F.coalesce("descendants", F.lit(0)).alias("descendants"),
     )
-    if endless.isEmpty():
+    if endless is None:
         return out
-    on = _on_cycle(endless, linked).select("id", F.lit(True).alias("on"))
+    on = _on_cycle(endless).select("id", F.lit(True).alias("on"))
     minus = F.lit(-1)
     never = endless.select("id").join(on, "id", "left").select(
         "id", F.when(F.col("on"), "cycle").otherwise("below_cycle").alias("state"), minus.cast(kind).alias("root_id"), F.lit("").alias("root_run_id"), minus.alias("depth"), F.lit("").alias("path"), minus.alias("descendants")
