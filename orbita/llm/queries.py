@@ -75,7 +75,29 @@ def p8_form(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_records, p5_found, p5_groups, p6_ids, p7_draw, p7_shares, p8_found, p8_form)}
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = f"regexp_replace({_LOWER}, '[^a-z0-9]', '', 'g')"
+
+#: Key of each source: letters and digits, or of a JSON object its values under their paths.
+_COPIES = f"""o AS (SELECT id, source, CASE WHEN json_valid(source) AND ltrim(source, chr(32) || chr(9) || chr(10) || chr(13)) LIKE '{{%' THEN source END AS j FROM candidates WHERE source IS NOT NULL),
+    x AS (SELECT o.id, regexp_replace({_LOWER.format('t.fullkey')}, '[^a-z0-9.\\[\\]$]', '', 'g') AS p, CASE WHEN t.type IN ('OBJECT', 'ARRAY') THEN t.type ELSE {_PLAIN.format("coalesce(t.atom ->> '$', 'null')")} END AS v FROM o, json_tree(o.j) t WHERE o.j IS NOT NULL),
+    f AS (SELECT id, '{{' || string_agg(p || '=' || v, ',' ORDER BY p, v) AS form FROM x GROUP BY id),
+    k AS (SELECT o.id, coalesce(f.form, {_PLAIN.format('o.source')}) AS key FROM o LEFT JOIN f ON f.id = o.id WHERE {_PLAIN.format('o.source')} <> ''),
+    c AS (SELECT id, min(id) OVER (PARTITION BY key) AS first_id, count(*) OVER (PARTITION BY key) AS copies FROM k)"""
+
+_NEAR = f"""{_COPIES}, d AS (SELECT id, unnest(['source', 'source_diff']) AS field, unnest([source, source_diff]) AS text FROM candidates WHERE id IN (SELECT id FROM c WHERE id = first_id)),
+    w AS (SELECT id, field, regexp_extract_all({_LOWER.format('text')}, '[a-z0-9_]+') AS w FROM d WHERE text IS NOT NULL),
+    s AS (SELECT DISTINCT field, id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS t FROM w WHERE len(w) >= 3),
+    n AS (SELECT field, id, count(*) AS n FROM s GROUP BY field, id), r AS (SELECT field, t FROM s GROUP BY field, t HAVING count(*) > 1), z AS (SELECT s.* FROM s JOIN r USING (field, t)),
+    b AS (SELECT a.field, a.id AS id_a, b.id AS id_b, count(*) AS hits FROM z a JOIN z b ON a.field = b.field AND a.t = b.t AND a.id < b.id GROUP BY ALL),
+    p AS (SELECT b.field, id_a, id_b FROM b JOIN n x ON x.field = b.field AND x.id = id_a JOIN n y ON y.field = b.field AND y.id = id_b WHERE 5 * hits >= 4 * (x.n + y.n - hits))"""
+
 SQL = {
+    "p3_found": f"WITH {_COPIES} SELECT first_id, id AS copy_id FROM c WHERE id <> first_id",
+    "p3_records": f"WITH {_COPIES} SELECT id, copies FROM c WHERE id = first_id",
+    "p5_found": f"WITH {_NEAR} SELECT field, id_a, id_b FROM p",
+    "p5_groups": f"""WITH RECURSIVE {_NEAR}, e AS (SELECT field, id_a AS id, id_b AS o FROM p UNION ALL SELECT field, id_b, id_a FROM p), g(field, id, o) AS (SELECT field, id, id FROM e UNION SELECT g.field, g.id, e.o FROM g JOIN e ON e.field = g.field AND e.id = g.o),
+        l AS (SELECT field, id, min(o) AS group_id FROM g GROUP BY field, id), m AS (SELECT field, id, count(*) AS links FROM e GROUP BY field, id) SELECT l.field, l.id, group_id, links FROM l JOIN m ON l.field = m.field AND l.id = m.id""",
     "p2_found": """
         SELECT run_id, engine, CAST(r AS INTEGER) AS rank_no, id FROM (
           SELECT run_id, engine, id, row_number() OVER (PARTITION BY run_id, engine ORDER BY score + 0.0 DESC, id) AS r

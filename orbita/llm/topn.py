@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orbita.functions.runtime import cut
+
+#: Places over which the rows of a group are spread to meet their bound.
+SALTS = 8
+
 
 def _best_of_partition(n: int, groups: list[str]):
     """Keeps, over all batches of a partition, the n best rows of each group, with their local rank.
@@ -70,9 +75,11 @@ def top_n(df: DataFrame, groups: list[str], score: str, id_col: str, n: int) ->
     keep their names; other columns are not read. Empty tables give an empty result.
 
     Every partition keeps its n best rows of each group. Its n-th best is a lower bound of the
-    group's n-th best; the rows are shuffled once by group, joined there with the highest bound of
-    their group, and what falls below is dropped before ranking. A group of any size sends at most
-    n rows from each partition.
+    group's n-th best. The highest bound of each group comes from the n-th rows alone, a small table: where
+    Spark finds it small enough it is broadcast and rows below their bound never leave their task, else the rows
+    meet their bounds spread over SALTS places a group. Only what is left is shuffled by group, after each task
+    kept its n best again. So a group of any size sends at most n rows from each of SALTS places or from each
+    partition that has n rows above the bound of all others.
     """
     keys = [f"g{i}" for i in range(len(groups))]
     rows = (
@@ -80,17 +87,18 @@ def top_n(df: DataFrame, groups: list[str], score: str, id_col: str, n: int) ->
         .where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("id").isNotNull())
     )
     schema = T.StructType([*rows.schema.fields, T.StructField("local_rank", T.IntegerType())])
-    local = rows.mapInArrow(_best_of_partition(n, keys), schema).repartition(*keys)
+    local = cut(rows.mapInArrow(_best_of_partition(n, keys), schema))
     # A bound needs the order of (score, id): the n-th best row of the partition, best = largest.
-    at_n = F.when(F.col("local_rank") == n, F.struct("score", (-F.col("id")).alias("minus_id")))
-    bounds = local.groupBy(*keys).agg(F.max(at_n).alias("bound")).select(*[F.col(k).alias(f"b_{k}") for k in keys], "bound")
-    same = F.lit(True)
+    at_n = F.struct("score", (-F.col("id")).alias("minus_id"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    bounds = local.where(F.col("local_rank") == n).groupBy(*keys).agg(F.max(at_n).alias("bound")).select(*[F.col(k).alias(f"b_{k}") for k in keys], "bound", salts.alias("b_salt"))
+    same = F.col("salt") == F.col("b_salt")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"b_{k}"))
-    above = F.col("bound").isNull() | (F.struct("score", (-F.col("id")).alias("minus_id")) >= F.col("bound"))
+    above = F.col("bound").isNull() | (at_n >= F.col("bound"))
     best = Window.partitionBy(*keys).orderBy(F.desc("score"), "id", "local_rank")
+    left = local.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(bounds, same, "left").where(above).select(*keys, "score", "id", "local_rank")
     return (
-        local.join(bounds, same).where(above)
-        .withColumn("rank_no", F.row_number().over(best)).where(F.col("rank_no") <= n)
+        left.withColumn("rank_no", F.row_number().over(best)).where(F.col("rank_no") <= n)
         .select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], "rank_no", "id")
     )

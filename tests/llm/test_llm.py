@@ -203,6 +203,20 @@ def test_visual_form(spark):
     assert pairs == want and look_alike_pairs(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_a_large_class_of_equal_texts_gives_only_its_pairs(spark):
+    same = spark.range(50_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 50_000, F.lit("\uff41 word")).otherwise(F.lit("a word")).alias("text"))
+    assert look_alike_pairs(same, "doc_id", "text").agg(F.count("*"), F.min("doc_b"), F.max("doc_a")).first() == (50_000, 50_000, 49_999)
+
+
+def test_top_n_of_a_hot_group(spark):
+    rows = spark.range(0, 60_000, 1, 40).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.col("id") % 900)).alias("run"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("score"))
+    got = {(r.run, r.rank_no): r.id for r in top_n(rows, ["run"], "score", "id", 40).collect()}
+    by = {}
+    for r in rows.collect():
+        by.setdefault(r.run, []).append((-r.score, r.id))
+    assert got == {(g, k + 1): i for g, v in by.items() for k, (_, i) in enumerate(sorted(v)[:40])}
+
+
 def test_plain_text_is_kept(spark):
     import unicodedata
 
