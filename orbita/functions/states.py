@@ -104,18 +104,19 @@ def unrank(code: Column, m: int, r: int) -> Column:
     return F.aggregate(steps, start, place, lambda acc: acc["p"])
 
 
-def replay(v: Column, word: Column) -> Column:
-    """Cells after all letters of ``word``; a letter other than L, R, X gives null."""
-    n = F.size(v)
+def moved(u: Column, letter: Column) -> Column:
+    """Cells after one letter; one other than L, R, X gives null."""
+    n = F.size(u)
+    return (
+        F.when(letter == "L", F.concat(F.slice(u, F.lit(2), n - 1), F.slice(u, 1, 1)))
+        .when(letter == "R", F.concat(F.slice(u, n, F.lit(1)), F.slice(u, F.lit(1), n - 1)))
+        .when(letter == "X", F.concat(F.reverse(F.slice(u, 1, 2)), F.slice(u, F.lit(3), F.greatest(n - 2, F.lit(0)))))
+    )
 
-    def step(u, letter):
-        return (
-            F.when(letter == "L", F.concat(F.slice(u, F.lit(2), n - 1), F.slice(u, 1, 1)))
-            .when(letter == "R", F.concat(F.slice(u, n, F.lit(1)), F.slice(u, F.lit(1), n - 1)))
-            .when(letter == "X", F.concat(F.reverse(F.slice(u, 1, 2)), F.slice(u, F.lit(3), F.greatest(n - 2, F.lit(0)))))
-        )
 
-    return F.aggregate(F.filter(F.split(word, ""), lambda x: x != ""), v, step)
+def replay(v: Column, word: Column) -> Column:
+    """Cells after all letters of ``word``; a letter other than L, R, X gives null."""
+    return F.aggregate(F.filter(F.split(word, ""), lambda x: x != ""), v, moved)
 
 
 # Families: a label order and the set of its nonempty gaps.

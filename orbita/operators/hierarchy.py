@@ -38,8 +38,8 @@ def _climb(linked: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         none = lambda c, t: F.lit(None).cast(t).alias(c)
         above = done.select(F.col("id").alias("ptr"), "root", "run", "depth", F.col("path").alias("above"), none("next", kind))
         above = above.unionByName(waiting.select(F.col("id").alias("ptr"), none("root", kind), none("run", linked.schema["run"].dataType), none("depth", "int"), F.col("path").alias("above"), F.col("ptr").alias("next")))
-        # Every pointer names a node, so the inner join loses none.
-        met = cut(waiting.join(above, "ptr").select("id", F.col("next").alias("ptr"), "root", "run", (F.col("depth") + stride).alias("depth"), F.concat("above", "path").alias("path")))
+        # Every pointer names a node, so the inner join loses none. No side is broadcast: their sizes grow with the table.
+        met = cut(waiting.join(above.hint("merge"), "ptr").select("id", F.col("next").alias("ptr"), "root", "run", (F.col("depth") + stride).alias("depth"), F.concat("above", "path").alias("path")))
         left, all_met = met.agg(F.count("ptr"), F.count("*")).first()
         done = _narrow(done.unionByName(met.where("ptr IS NULL").select("id", "root", "run", "depth", "path")))
         waiting = met.where("ptr IS NOT NULL").select("id", "ptr", "path")
@@ -66,7 +66,7 @@ def _on_cycle(endless: DataFrame) -> DataFrame:
             return jump.select(F.col("ptr").alias("id")).distinct()
         before = image
         further = jump.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"))
-        older, jump = (jump if jump is not endless else None), cut(jump.join(further, "ptr").select("id", F.col("next").alias("ptr")))
+        older, jump = (jump if jump is not endless else None), cut(jump.join(further.hint("merge"), "ptr").select("id", F.col("next").alias("ptr")))
         free(older)
 
 
