@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbita.functions import states as S
-from orbita.functions.runtime import cut
+from orbita.functions.runtime import cut, free
 
 #: More states than this are refused before any work.
 MAX_STATES = 5_000_000_000
@@ -78,51 +78,138 @@ def spread_sample(ranked: DataFrame, d: int, k: int, size: int) -> DataFrame:
     return hit.crossJoin(F.broadcast(first)).select(F.coalesce("code", "first").alias("code")).where("code IS NOT NULL").distinct().withColumn("d", F.lit(d))
 
 
-def lifted_minima(spark: SparkSession, m: int, r: int, q: int) -> DataFrame:
-    """``p, a`` of every state of (m, r): the least length of a word that sorts it while the word's
-    projection, with the best one of the zeros deleted, takes at most q letters; null if there is none.
+INF = 1 << 20
+
+
+def lifted_layers(spark: SparkSession, m: int, r: int, q: int) -> list[DataFrame]:
+    """For each cap 0..q a table ``u, h``: ``h[j]`` is the least length of a word that sorts state u of (m, r - 1) with a marked
+    zero put in at cell j, while at most so many letters do anything but carry the mark around; INF where there is none, and no
+    row where there is none for any j. Shorter than q + 1 tables if from the last on nothing changes any more.
 
-    The deleted zero's place among the cells is the index of an array kept with the smaller state,
-    so one round for a letter more is one shuffle of the smaller table: every state sends its array
-    to the three states from which a letter leads to it, and the arrays are merged by cells. Moves that
-    only carry the deleted zero around are free of charge for the projection and closed within the array.
+    The mark's place is the index of an array kept with the smaller state, so a letter more is one shuffle of the smaller
+    table. It begins with the root alone; in each round only states whose array changed send it to the three states from
+    which a letter leads to them. Moves that only carry the mark are free and closed within the array.
     """
     S.check_graph(m, r)
     if r < 1:
         raise ValueError("there is no zero to delete")
     n, k = m + r, m + r - 1
-    spaces = spark.range(S.states(m, r - 1)).select(S.unrank(F.col("id"), m, r - 1).alias("u"))
-    inf = F.lit(1 << 20)
-    ends = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.when(j >= m, F.lit(0)).otherwise(inf))
-    nothing = F.array_repeat(inf, n)
-    root = F.lit(S.root_key(m, r - 1))
+    inf = F.lit(INF)
 
     def closed(h):
         """Cells 0 and n-1 are one letter apart, so are 0 and 1."""
         a, b, z = F.element_at(h, 1), F.element_at(h, 2), F.element_at(h, n)
         first, second, last = F.least(a, b + 1, z + 1), F.least(b, a + 1, z + 2), F.least(z, a + 1, b + 2)
-        return F.transform(h, lambda x, j: F.when(j == 0, first).when(j == 1, second).when(j == n - 1, last).otherwise(x))
+        return F.transform(h, lambda x, j: F.least(inf, F.when(j == 0, first).when(j == 1, second).when(j == n - 1, last).otherwise(x)))
 
-    def lower(arrays):
-        return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: F.least(*[F.element_at(a, j) for a in arrays]))
-
-    now = cut(spaces.select("u", F.when(F.col("u") == root, ends).otherwise(nothing).alias("h")).select("u", closed(F.col("h")).alias("h")))
-    grow = lambda h: F.transform(h, lambda x: F.least(x + 1, inf))
+    ends = F.array(*[F.lit(0) if j >= m else inf for j in range(n)])
+    now = cut(spark.range(1).select(F.lit(S.root_key(m, r - 1)).alias("u"), ends.alias("h")).select("u", closed(F.col("h")).alias("h"), F.lit(True).alias("changed")))
+    layers = [now]
     for _ in range(q):
-        u, h = F.col("u"), F.col("h")
+        u, h = F.col("u"), F.transform("h", lambda x: F.least(x + 1, inf))
         # A state reached by L from its R-neighbour: there the mark stood one cell further, and so on.
-        by_left = F.concat(F.array(inf), F.slice(grow(h), 1, n - 1))
-        by_right = F.concat(F.slice(grow(h), 2, n - 1), F.array(inf))
-        by_swap = F.transform(grow(h), lambda x, j: F.when(j < 2, inf).otherwise(x))
         sent = F.array(
-            F.struct(u.alias("u"), h.alias("h"), F.lit(0).alias("x")), F.struct(S.move_right(u, k).alias("u"), by_left.alias("h"), F.lit(1).alias("x")),
-            F.struct(S.move_left(u, k).alias("u"), by_right.alias("h"), F.lit(2).alias("x")), F.struct(S.move_swap(u).alias("u"), by_swap.alias("h"), F.lit(3).alias("x")),
+            F.struct(S.move_right(u, k).alias("u"), F.concat(F.array(inf), F.slice(h, 1, n - 1)).alias("h")), F.struct(S.move_left(u, k).alias("u"), F.concat(F.slice(h, 2, n - 1), F.array(inf)).alias("h")),
+            F.struct(S.move_swap(u).alias("u"), F.transform(h, lambda x, j: F.when(j < 2, inf).otherwise(x)).alias("h")),
         )
-        met = now.select(F.explode(sent).alias("s")).groupBy("s.u").agg(*[F.min(F.when(F.col("s.x") == x, F.col("s.h"))).alias(f"h{x}") for x in range(4)])
-        now = cut(met.select("u", closed(lower([F.coalesce(f"h{x}", nothing) for x in range(4)])).alias("h")))
+        told = now.where("changed").select(F.explode(sent).alias("s")).select("s.u", *[F.element_at("s.h", j + 1).alias(f"h{j}") for j in range(n)], F.lit(None).cast("array<int>").alias("old"))
+        own = now.select("u", *[F.element_at("h", j + 1).alias(f"h{j}") for j in range(n)], F.col("h").alias("old"))
+        met = told.unionByName(own).groupBy("u").agg(*[F.min(f"h{j}").alias(f"h{j}") for j in range(n)], F.max("old").alias("old"))
+        new = met.select("u", closed(F.array(*[f"h{j}" for j in range(n)])).alias("h"), "old").where(F.array_min("h") < INF)
+        now = cut(new.select("u", "h", (F.col("old").isNull() | (F.col("old") != F.col("h"))).alias("changed")))
+        if not now.where("changed").limit(1).count():
+            break
+        layers.append(now)
+    return [x.select("u", "h") for x in layers]
+
+
+def of_cap(layers: list[DataFrame], q: int) -> DataFrame:
+    return layers[min(q, len(layers) - 1)]
+
+
+def minima(layer: DataFrame, n: int) -> DataFrame:
+    """``p, a``: the least entry over the marks of each visible state a layer reaches."""
     places = F.array(*[F.struct(_insert_zero(F.col("u"), j).alias("p"), F.element_at("h", j + 1).alias("a")) for j in range(n)])
-    out = now.select(F.explode(places).alias("s")).groupBy("s.p").agg(F.min("s.a").alias("a"))
-    return out.select("p", F.when(F.col("a") < inf, F.col("a")).alias("a"))
+    return layer.select(F.explode(places).alias("s")).where(F.col("s.a") < INF).groupBy("s.p").agg(F.min("s.a").alias("a"))
+
+
+def all_states(spark: SparkSession, m: int, r: int) -> DataFrame:
+    return spark.range(S.states(m, r)).select(S.unrank(F.col("id"), m, r).alias("p"))
+
+
+def lifted_minima(spark: SparkSession, m: int, r: int, q: int) -> DataFrame:
+    """``p, a`` of every state of (m, r): the least length of a word that sorts it while the word's
+    projection, with the best one of the zeros deleted, takes at most q letters; null if there is none."""
+    return all_states(spark, m, r).join(minima(of_cap(lifted_layers(spark, m, r, q), q), m + r), "p", "left").select("p", "a")
+
+
+def h_table(layers: list[DataFrame], q: int) -> DataFrame:
+    """``u, j, q, h`` of all caps up to q; entries without a word are left out."""
+    out = None
+    for k in range(q + 1):
+        one = of_cap(layers, k).select("u", F.posexplode("h").alias("j", "h"), F.lit(k).alias("q")).where(F.col("h") < INF)
+        out = one if out is None else out.unionByName(one)
+    return out.select("u", "j", "q", "h")
+
+
+def excess_table(spark: SparkSession, m: int, r: int, e: int) -> DataFrame:
+    """``u, j, e, f``: the least length when the projection may take e letters more than the smaller state's distance."""
+    smaller = distance_table(spark, m, r - 1)
+    far = smaller.agg(F.max("d")).first()[0]
+    h = h_table(lifted_layers(spark, m, r, far + e), far + e)
+    asked = smaller.select(F.col("p").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(e))).alias("e"), "d").withColumn("q", F.col("d") + F.col("e"))
+    return asked.join(h, ["u", "q"]).select("u", "j", "e", F.col("h").alias("f"))
+
+
+def sweep(spark: SparkSession, m: int, r: int, caps: range) -> DataFrame:
+    """For each cap ``q, lifted, over_budget, equal_distance, max_a``: states with a word, those whose least one is longer than
+    the budget, those where it is a shortest word; all caps from one run of layers."""
+    layers, n, t = lifted_layers(spark, m, r, max(caps)), m + r, S.budget(m, r)
+    table = distance_table(spark, m, r)
+    out = None
+    for q in caps:
+        one = minima(of_cap(layers, q), n).withColumn("q", F.lit(q))
+        out = one if out is None else out.unionByName(one)
+    both = out.join(table, "p")
+    return both.groupBy("q").agg(F.count("*").alias("lifted"), F.count(F.when(F.col("a") > t, 1)).alias("over_budget"), F.count(F.when(F.col("a") == F.col("d"), 1)).alias("equal_distance"), F.max("a").alias("max_a"))
+
+
+def slack_profile(spark: SparkSession, m: int, r: int, extra: int) -> DataFrame:
+    """``e, projection, states``: for words at most e letters longer than the distance, the fewest letters the projection can
+    take, over all states."""
+    table = distance_table(spark, m, r)
+    most = table.agg(F.max("d")).first()[0] + extra
+    layers, out = lifted_layers(spark, m, r, most), None
+    for q in range(len(layers)):
+        one = minima(layers[q], m + r).withColumn("q", F.lit(q))
+        out = one if out is None else out.unionByName(one)
+    both = out.join(table, "p").withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(extra)))).where(F.col("a") <= F.col("d") + F.col("e"))
+    return both.groupBy("p", "e").agg(F.min("q").alias("projection")).groupBy("e", "projection").agg(F.count("*").alias("states"))
+
+
+def witnesses(spark: SparkSession, asked: DataFrame, layers: list[DataFrame], m: int, r: int, q: int) -> DataFrame:
+    """Adds ``word`` to ``asked`` (``u, j``): a shortest word of the marked state whose projection keeps the cap q; the first
+    letter of L, R, X that leads to a state one letter nearer is taken. States without a word are left out.
+
+    All states take a step together: one join with the layers a letter."""
+    n, k = m + r, m + r - 1
+    h = cut(h_table(layers, q))
+    now = cut(asked.select("u", "j", F.col("u").alias("x"), F.col("j").alias("y"), F.lit(q).alias("q"), F.lit("").alias("word")).join(h.select(F.col("u").alias("x"), F.col("j").alias("y"), "q", F.col("h").alias("left")), ["x", "y", "q"]))
+    steps = now.agg(F.max("left")).first()[0] or 0
+    x, y = F.col("x"), F.col("y")
+    moves = F.array(
+        F.struct(F.lit("L").alias("letter"), F.when(y == 0, x).otherwise(S.move_left(x, k)).alias("x"), F.when(y == 0, n - 1).otherwise(y - 1).alias("y")),
+        F.struct(F.lit("R").alias("letter"), F.when(y == n - 1, x).otherwise(S.move_right(x, k)).alias("x"), F.when(y == n - 1, 0).otherwise(y + 1).alias("y")),
+        F.struct(F.lit("X").alias("letter"), F.when(y < 2, x).otherwise(S.move_swap(x)).alias("x"), F.when(y < 2, 1 - y).otherwise(y).alias("y")),
+    )
+    for _ in range(steps):
+        ways = now.where("left > 0").select("u", "j", "word", "left", "q", "x", F.explode(moves).alias("s"))
+        ways = ways.select("u", "j", F.concat("word", "s.letter").alias("word"), F.col("s.x").alias("nx"), F.col("s.y").alias("ny"), (F.col("q") - (F.col("s.x") != F.col("x")).cast("int")).alias("nq"), (F.col("left") - 1).alias("left"))
+        met = ways.join(h.select(F.col("u").alias("nx"), F.col("j").alias("ny"), F.col("q").alias("nq"), F.col("h").alias("left")), ["nx", "ny", "nq", "left"])
+        best = met.groupBy("u", "j").agg(F.min(F.struct("word", "nx", "ny", "nq", "left")).alias("b")).select("u", "j", F.col("b.nx").alias("x"), F.col("b.ny").alias("y"), F.col("b.nq").alias("q"), "b.word", "b.left")
+        older, now = now, cut(now.where("left = 0").unionByName(best))
+        free(older)
+    return now.select("u", "j", "word")
 
 
 def _insert_zero(u, j: int):

@@ -9,7 +9,7 @@ from orbita.functions.runtime import table
 from orbita.operators.hierarchy import hierarchy
 from orbita.operators.pricing import frontier, mixtures, word_profiles
 from orbita.operators.shredding import nested_tables
-from orbita.plans import archive, graphs, rollupplans, wordplans
+from orbita.plans import archive, graphs, liftplans, rollupplans, wordplans
 from orbita.streaming.tail import tally
 
 JSON_FIELDS = ["feedback_json", "traces_json", "provenance_json"]
@@ -68,6 +68,6 @@ def stream_tally(spark: SparkSession, sf: str) -> DataFrame:
     return tally(spark, f"{sf}/run_log.parquet")
 
 
-QUERIES = {**{f.__name__: f for f in (p1_found, p1_tables, p4_found, family_words, family_mixtures, family_frontier, stream_tally)}, **archive.QUERIES, **graphs.QUERIES, **wordplans.QUERIES, **rollupplans.QUERIES}
+QUERIES = {**{f.__name__: f for f in (p1_found, p1_tables, p4_found, family_words, family_mixtures, family_frontier, stream_tally)}, **archive.QUERIES, **graphs.QUERIES, **wordplans.QUERIES, **rollupplans.QUERIES, **liftplans.QUERIES}
 SQL: dict[str, str] = {
-    "p1_found": _P1, "p4_found": _P4, "stream_tally": "SELECT event, status, count(*) AS lines FROM (SELECT DISTINCT log_id, event, status FROM run_log) GROUP BY event, status", **archive.SQL, **graphs.SQL, **wordplans.SQL, **rollupplans.SQL}
+    "p1_found": _P1, "p4_found": _P4, "stream_tally": "SELECT event, status, count(*) AS lines FROM (SELECT DISTINCT log_id, event, status FROM run_log) GROUP BY event, status", **archive.SQL, **graphs.SQL, **wordplans.SQL, **rollupplans.SQL, **liftplans.SQL}
