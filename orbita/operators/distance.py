@@ -16,33 +16,66 @@ class Incomplete(Exception):
     """A resource limit was met; never a result."""
 
 
+#: Rows one round of the search may make of its frontier, and letters it may go at most.
+ROUND_ROWS, ROUND_LETTERS = 2_000_000, 10
+
+
 def distance_table(spark: SparkSession, m: int, r: int, words: bool = False, max_states: int = MAX_STATES) -> DataFrame:
     """``p, d`` of all states reachable from the root, with ``words`` also ``n_shortest`` (how many
     shortest words there are) and ``word`` (the shortest one whose letters are smallest, L < R < X).
 
-    Moves are undone by moves, so the neighbours of layer d lie in layers d-1, d and d+1: a new
-    layer is what is in neither of the last two. Each layer is one shuffle, by state, that removes
-    repeats map-side first; the table of all visited states is never joined. Layers are written as
-    they come. Raises :class:`Incomplete` beyond ``max_states``.
+    A round goes k letters on from the frontier, the last layer known: all words of up to k letters in which no letter
+    undoes the one before, which doubles the rows with each letter. A state's least length is kept (removed map-side
+    before the one shuffle of the round), and what lies in the last k layers already is no new state; farther back no
+    word of k letters leads, for moves are undone by moves. So no round joins the table of all visited states. Small
+    frontiers go many letters a round (ROUND_ROWS), large ones one. Raises :class:`Incomplete` beyond ``max_states``.
     """
     S.check_graph(m, r)
     if S.states(m, r) > max_states:
         raise Incomplete(f"{S.states(m, r)} states, more than {max_states}")
-    n = m + r
-    layer = spark.range(1).select(F.lit(S.root_key(m, r)).alias("p"))
     if words:
-        layer = layer.select("p", F.lit(1).cast("bigint").alias("n_shortest"), F.lit("").alias("word"))
-    before, now, done, d = None, cut(layer), [], 0
+        return _table_with_words(spark, m, r)
+    n, d, width = m + r, 0, 1
+    done = [(0, cut(spark.range(1).select(F.lit(S.root_key(m, r)).alias("p"), F.lit(0).alias("d"))))]
+    while True:
+        k = max(1, min(ROUND_LETTERS, (ROUND_ROWS // (3 * width)).bit_length() - 1))
+        near = done[-1][1].where(F.col("d") == d).select("p", F.lit(0).alias("len"), F.lit(0).alias("last"), F.lit(True).alias("going"))
+        for _ in range(k):
+            stay = F.struct("p", "len", "last", F.lit(False).alias("going"))
+            left, right, swap = (F.struct(q.alias("p"), (F.col("len") + 1).alias("len"), F.lit(i).alias("last"), F.lit(True).alias("going")) for i, (_, q) in enumerate(S.moves(F.col("p"), n), 1))
+            ways = (
+                F.when(~F.col("going"), F.array(stay)).when(F.col("last") == 1, F.array(stay, left, swap)).when(F.col("last") == 2, F.array(stay, right, swap))
+                .when(F.col("last") == 3, F.array(stay, left, right)).otherwise(F.array(stay, left, right, swap))
+            )
+            near = near.select(F.explode(ways).alias("s")).select("s.*")
+        fresh = near.where("len > 0").groupBy("p").agg(F.min("len").alias("len"))
+        for far, table in done:
+            if far >= d - k:
+                fresh = fresh.join(table.select("p"), "p", "left_anti")
+        table = cut(fresh.select("p", (F.lit(d) + F.col("len")).alias("d")))
+        d += k
+        width = table.where(F.col("d") == d).count()
+        done.append((d, table))
+        if not width:
+            break
+    out = done[0][1]
+    for _, table in done[1:]:
+        out = out.unionByName(table)
+    return out
+
+
+def _table_with_words(spark: SparkSession, m: int, r: int) -> DataFrame:
+    """Layer by layer: a new layer is what is in neither of the last two."""
+    n = m + r
+    now = cut(spark.range(1).select(F.lit(S.root_key(m, r)).alias("p"), F.lit(1).cast("bigint").alias("n_shortest"), F.lit("").alias("word")))
+    before, done, d = None, [], 0
     undo = {"L": "R", "R": "L", "X": "X"}
     while True:
         done.append(now.withColumn("d", F.lit(d)))
-        if words:
-            # Reached from u by a letter, a state gets back to u by the letter's inverse.
-            ways = [F.struct(q.alias("q"), F.lit(undo[x]).alias("x")) for x, q in S.moves(F.col("p"), n)]
-            near = now.select("n_shortest", "word", F.explode(F.array(*ways)).alias("s")).select(F.col("s.q").alias("p"), "n_shortest", F.struct(F.col("s.x").alias("x"), "word").alias("w"))
-            fresh = near.groupBy("p").agg(F.sum("n_shortest").alias("n_shortest"), F.min("w").alias("w")).select("p", "n_shortest", F.concat("w.x", "w.word").alias("word"))
-        else:
-            fresh = now.select(F.explode(F.array(*[q for _, q in S.moves(F.col("p"), n)])).alias("p")).distinct()
+        # Reached from u by a letter, a state gets back to u by the letter's inverse.
+        ways = [F.struct(q.alias("q"), F.lit(undo[x]).alias("x")) for x, q in S.moves(F.col("p"), n)]
+        near = now.select("n_shortest", "word", F.explode(F.array(*ways)).alias("s")).select(F.col("s.q").alias("p"), "n_shortest", F.struct(F.col("s.x").alias("x"), "word").alias("w"))
+        fresh = near.groupBy("p").agg(F.sum("n_shortest").alias("n_shortest"), F.min("w").alias("w")).select("p", "n_shortest", F.concat("w.x", "w.word").alias("word"))
         old = now.select("p") if before is None else now.select("p").unionByName(before.select("p"))
         fresh = cut(fresh.join(old, "p", "left_anti"))
         if fresh.isEmpty():
