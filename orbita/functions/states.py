@@ -76,15 +76,19 @@ def rank_weights(m: int, r: int) -> list[int]:
 
 
 def rank(p: Column, m: int, r: int) -> Column:
-    """Rank of a state: each token's position among the cells still free, in mixed radix."""
-    n, total, seen = m + r, F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
-    v = cells(p, n)
-    for token, weight in zip(range(1, m + 1), rank_weights(m, r)):
-        at = (F.array_position(v, F.lit(token)) - 1).cast("int")
-        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
-        total = total + (at - F.bit_count(seen.bitwiseAND(bit - 1))) * F.lit(weight)
-        seen = seen.bitwiseOR(bit)
-    return total
+    """Rank of a state: each token's position among the cells still free, in mixed radix; one fold over the tokens."""
+    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("seen"))
+    steps = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).cast("bigint").alias("w")) for t, w in zip(range(1, m + 1), rank_weights(m, r))])
+
+    def of(v: Column) -> Column:
+        def place(acc, step):
+            at = (F.array_position(v, step["t"]) - 1).cast("int")
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
+            return F.struct((acc["total"] + (at - F.bit_count(acc["seen"].bitwiseAND(bit - 1))) * step["w"]).alias("total"), acc["seen"].bitwiseOR(bit).alias("seen"))
+
+        return F.aggregate(steps, start, place, lambda acc: acc["total"])
+
+    return F.element_at(F.transform(F.array(cells(p, m + r)), of), 1)
 
 
 def unrank(code: Column, m: int, r: int) -> Column:

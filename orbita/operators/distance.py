@@ -39,15 +39,12 @@ def distance_table(spark: SparkSession, m: int, r: int, words: bool = False, max
     done = [(0, cut(spark.range(1).select(F.lit(S.root_key(m, r)).alias("p"), F.lit(0).alias("d"))))]
     while True:
         k = max(1, min(ROUND_LETTERS, (ROUND_ROWS // (3 * width)).bit_length() - 1))
-        near = done[-1][1].where(F.col("d") == d).select("p", F.lit(0).alias("len"), F.lit(0).alias("last"), F.lit(True).alias("going"))
+        # The last letter's number (1 L, 2 R, 3 X), 4 before the first, 0 for words that end here; what undoes it has 2, 1, 3.
+        near = done[-1][1].where(F.col("d") == d).select("p", F.lit(0).alias("len"), F.lit(4).alias("last"))
         for _ in range(k):
-            stay = F.struct("p", "len", "last", F.lit(False).alias("going"))
-            left, right, swap = (F.struct(q.alias("p"), (F.col("len") + 1).alias("len"), F.lit(i).alias("last"), F.lit(True).alias("going")) for i, (_, q) in enumerate(S.moves(F.col("p"), n), 1))
-            ways = (
-                F.when(~F.col("going"), F.array(stay)).when(F.col("last") == 1, F.array(stay, left, swap)).when(F.col("last") == 2, F.array(stay, right, swap))
-                .when(F.col("last") == 3, F.array(stay, left, right)).otherwise(F.array(stay, left, right, swap))
-            )
-            near = near.select(F.explode(ways).alias("s")).select("s.*")
+            ways = near.select("len", "last", F.posexplode(F.array("p", *[q for _, q in S.moves(F.col("p"), n)])).alias("letter", "p"))
+            go = (F.col("last") > 0) & ~((F.col("last") + F.col("letter") == 3) | ((F.col("last") == 3) & (F.col("letter") == 3)))
+            near = ways.where((F.col("letter") == 0) | go).select("p", (F.col("len") + F.least(F.col("letter"), F.lit(1))).alias("len"), F.col("letter").alias("last"))
         fresh = near.where("len > 0").groupBy("p").agg(F.min("len").alias("len"))
         for far, table in done:
             if far >= d - k:
@@ -100,13 +97,11 @@ def spread_sample(ranked: DataFrame, d: int, k: int, size: int) -> DataFrame:
     from pyspark.sql import Window
 
     at = ranked.where(F.col("d") == d)
-    stretch = at.select("code", F.ceil(F.col("code") * k / F.lit(float(size))).cast("int").alias("i")).withColumn(
-        "i", F.when(F.floor(F.col("i") * F.lit(float(size)) / k) < F.col("code"), F.col("i") + 1).otherwise(F.col("i"))
-    )
-    least = stretch.groupBy("i").agg(F.min("code").alias("code")).where(F.col("i") <= k)
+    # Anchor i is floor(i size / k); a code lies in the stretch of the last anchor that is not above it.
+    least = at.select("code", F.call_function("div", (F.col("code") + 1) * k - 1, F.lit(size)).cast("int").alias("i")).groupBy("i").agg(F.min("code").alias("code"))
     anchors = at.sparkSession.range(k).select(F.col("id").cast("int").alias("i"))
     up = Window.orderBy("i").rowsBetween(0, Window.unboundedFollowing)
-    hit = anchors.join(least.where(F.col("i") < k), "i", "left").select(F.min("code").over(up).alias("code"))
+    hit = anchors.join(least, "i", "left").select(F.min("code").over(up).alias("code"))
     first = at.agg(F.min("code").alias("first"))
     return hit.crossJoin(F.broadcast(first)).select(F.coalesce("code", "first").alias("code")).where("code IS NOT NULL").distinct().withColumn("d", F.lit(d))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,16 +69,18 @@ def run_rules(states: DataFrame, rules: list[dict], default: str, m: int, r: int
     Each step takes the first rule whose ``if`` is not 0 (else ``default``), makes its move ``do`` and sets
     the registers of its ``set`` (r0 to r3, from 0) at once, all from the values before the step. Expressions may
     use ``rot`` (net turns modulo n), ``steps``, ``prev`` (0, or 1, 2, 3 for L, R, X) and the registers.
-    ``outcome`` is ``solved``, ``step cap`` (controllers that run in a circle end there too) or ``eval error: ...``;
-    ``word`` is null unless solved. All steps of a state are one fold inside the plan: no job per step.
+    ``outcome`` is ``solved``, ``step cap``, ``eval error: ...``, or ``cycle after k steps``: without the name ``steps`` in its rules a
+    controller depends on state, turns, last letter and registers alone, so the first of these that comes again proves that it
+    never ends. ``word`` is null unless solved. All steps of a state are one fold inside the plan: no job per step.
     """
     n, names = m + r, ("r0", "r1", "r2", "r3", "rot", "steps", "prev")
     goal = F.array(*[F.lit(i + 1 if i < m else 0) for i in range(n)])
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(S.cells(F.col("p"), n).alias("v"), *[zero.alias(x) for x in names], F.lit("").alias("word"), F.lit(None).cast("string").alias("error"))
+    zero, cycles = F.lit(0).cast("bigint"), '"steps"' not in json.dumps(rules)
+    start = F.struct(S.cells(F.col("p"), n).alias("v"), *[zero.alias(x) for x in names], F.lit("").alias("word"), F.lit(None).cast("string").alias("stop"), F.array().cast("array<string>").alias("seen"))
 
     def step(a: Column, _: Column) -> Column:
         extra = {x: a[x] for x in names}
+        key = F.concat_ws(",", a["v"].cast("array<string>"), *[a[x].cast("string") for x in names if x != "steps"])
         letter, error = F.lit(default), F.lit(None).cast("string")
         sets = {x: a[x] for x in names[:4]}
         for rule in reversed(rules):
@@ -88,13 +92,15 @@ def run_rules(states: DataFrame, rules: list[dict], default: str, m: int, r: int
             error = F.coalesce(cond.error, F.when(taken, failed).otherwise(error))
             sets = {x: F.when(taken, new[x].value if x in new else a[x]).otherwise(old) for x, old in sets.items()}
         turn = F.when(letter == "L", 1).when(letter == "R", -1).otherwise(0)
+        again = F.when(F.array_contains(a["seen"], key), F.concat(F.lit("cycle after "), a["steps"].cast("string"), F.lit(" steps"))) if cycles else F.lit(None).cast("string")
+        stop = F.coalesce(again, F.concat(F.lit("eval error: "), error))
         after = F.struct(
-            F.when(error.isNull(), S.replay(a["v"], letter)).otherwise(a["v"]).alias("v"), *[c.alias(x) for x, c in sets.items()], F.pmod(a["rot"] + turn, F.lit(n)).cast("bigint").alias("rot"),
-            (a["steps"] + 1).alias("steps"), F.when(letter == "L", 1).when(letter == "R", 2).otherwise(3).cast("bigint").alias("prev"), F.concat(a["word"], letter).alias("word"), error.alias("error"),
+            F.when(stop.isNull(), S.replay(a["v"], letter)).otherwise(a["v"]).alias("v"), *[c.alias(x) for x, c in sets.items()], F.pmod(a["rot"] + turn, F.lit(n)).cast("bigint").alias("rot"),
+            (a["steps"] + 1).alias("steps"), F.when(letter == "L", 1).when(letter == "R", 2).otherwise(3).cast("bigint").alias("prev"), F.concat(a["word"], letter).alias("word"), stop.alias("stop"),
+            (F.concat(a["seen"], F.array(key)) if cycles else a["seen"]).alias("seen"),
         )
-        return F.when((a["v"] == goal) | a["error"].isNotNull(), a).otherwise(after)
+        return F.when((a["v"] == goal) | a["stop"].isNotNull(), a).otherwise(after)
 
     ran = states.withColumn("_a", F.aggregate(F.sequence(F.lit(1), F.lit(max_steps)), start, step))
-    solved = F.col("_a.v") == goal
-    outcome = F.when(F.col("_a.error").isNotNull(), F.concat(F.lit("eval error: "), F.col("_a.error"))).when(solved, "solved").otherwise("step cap")
-    return ran.select(*states.columns, F.when(solved & F.col("_a.error").isNull(), F.col("_a.word")).alias("word"), outcome.alias("outcome"))
+    solved = F.col("_a.stop").isNull() & (F.col("_a.v") == goal)
+    return ran.select(*states.columns, F.when(solved, F.col("_a.word")).alias("word"), F.coalesce("_a.stop", F.when(solved, "solved").otherwise("step cap")).alias("outcome"))
