@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orbita.functions.runtime import table
 from orbita.operators import rollups as R
+from orbita.operators.pricing import mixtures
 from orbita.operators.shredding import nested_tables
 from orbita.plans.archive import _LINES, _REAL, _lines, _money, _real, running
 
@@ -401,3 +402,25 @@ def ledger_states(spark, sf):
         R.count_if(F.col("charged") > F.col("reserved")).alias("overruns"), (R.count_if(F.col("charged").isNull()) == 0).alias("may_restart"),
     )
     return out.join(streaks, "run_id").withColumn("halted", F.col("longest_failure") >= 3)
+
+
+# Exact mixtures where the SQL can name them: one block of zeros, six words a family with prices from one fixed rule.
+
+_PRICES = "budget_unit - 4 + (cut * 7 + mask % 13) % 11 AS base, (cut * 5 + mask % 7) % (2 * m) AS slope"
+_ONE = f"""w AS (SELECT id, m, m * (m + 1) // 2 + 1 AS goal, m - 2 AS s, cut, {_PRICES} FROM (SELECT *, unnest(range(0, 6)) AS cut FROM families WHERE k = 1)),
+  c AS (SELECT id, goal, s, base::BIGINT AS bn, slope::BIGINT AS sn, 1::BIGINT AS d FROM w UNION ALL SELECT a.id, a.goal, a.s, a.base * (b.slope - a.s) + b.base * (a.s - a.slope), a.s * (b.slope - a.slope), b.slope - a.slope FROM w a JOIN w b ON a.id = b.id AND a.slope < a.s AND b.slope > a.s
+    UNION ALL SELECT a.id, a.goal, a.s, a.goal * (b.base - a.base), a.slope * (b.base - a.goal) + b.slope * (a.goal - a.base), b.base - a.base FROM w a JOIN w b ON a.id = b.id AND a.base < a.goal AND b.base > a.goal),
+  l AS (SELECT id, min(slope) - any_value(s) AS x FROM w GROUP BY id), e AS (SELECT id, greatest(x, 0) AS excess FROM l),
+  o AS (SELECT c.id, arg_min({{'n': bn, 'd': d}}, bn / d) AS b FROM c JOIN e ON e.id = c.id WHERE sn <= (s + excess) * d GROUP BY c.id),
+  g AS (SELECT id, arg_min({{'n': greatest(0, bn - goal * d) + greatest(0, sn - s * d), 'd': d}}, (greatest(0, bn - goal * d) + greatest(0, sn - s * d)) / d) AS g FROM c GROUP BY id)"""
+
+
+@query(f"""WITH {_ONE} SELECT o.id, {_fraction('o.b.n', 'o.b.d')} AS objective, CAST(excess AS VARCHAR) AS excess, {_fraction('g.g.n', 'g.g.d')} AS gap, true AS proved,
+  CASE WHEN excess = 0 AND o.b.n < (m * (m + 1) // 2 + 1) * o.b.d THEN 'CERTIFIED' WHEN g.g.n = 0 THEN 'BOUNDARY' ELSE 'NO_CERTIFICATE' END AS status FROM o JOIN e ON e.id = o.id JOIN g ON g.id = o.id JOIN families f ON f.id = o.id""")
+def one_block_mixtures(spark, sf):
+    """Best mixtures of families with one block, from given prices."""
+    rows = table(spark, sf, "families").where("k = 1").withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    base = F.col("budget_unit") - 4 + (F.col("cut") * 7 + F.col("mask") % 13) % 11
+    slope = (F.col("cut") * 5 + F.col("mask") % 7) % (2 * F.col("m"))
+    priced = rows.select("id", "m", "k", "cut", base.cast("bigint").alias("base"), F.array(slope.cast("bigint")).alias("slopes"), F.lit("PRICED").alias("status"))
+    return mixtures(priced).select("id", "objective", "excess", "gap", "proved", "status")

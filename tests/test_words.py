@@ -7,7 +7,8 @@ from fractions import Fraction
 
 import pytest
 
-from orbita.operators.pricing import Rejected, least, mixtures, profile, sweep_word, word_profiles
+from orbita.operators.exactlp import best_mixture, box_mixture, keeps_bounds, least_gap, minimum, verified
+from orbita.operators.pricing import Rejected, mixtures, profile, sweep_word, word_profiles
 from orbita.sources.files import read_distance_file, read_events, read_registry, write_table
 from orbita.streaming.tail import tally
 
@@ -56,10 +57,36 @@ def test_least_equals_vertices():
             if row[i] <= bound < row[j]:
                 w = Fraction(bound - row[i], row[j] - row[i])
                 best.append(costs[i] * (1 - w) + costs[j] * w)
-        got = least(costs, [row], [bound])
-        assert (got and got[0]) == (min(best) if best else None)
+        got = minimum(costs, [row], [bound])
+        assert (got and got.value) == (min(best) if best else None)
         if got:
-            assert sum(got[1]) == 1 and all(x >= 0 for x in got[1]) and sum(x * y for x, y in zip(row, got[1])) <= bound
+            assert verified(costs, [row], [bound], got.weights, got.duals)
+            assert not verified(costs, [row], [bound], got.weights, [Fraction(-1)]) and not verified([c + (w > 0) for c, w in zip(costs, got.weights)] + [0], [[*row, 0]], [bound], [*got.weights, Fraction(0)], got.duals)
+
+
+def test_exact_programs_prove_themselves():
+    rnd = random.Random(3)
+    seen = set()
+    for _ in range(150):
+        n, k = rnd.randrange(1, 7), rnd.randrange(1, 4)
+        bases, slopes, bound = [rnd.randrange(30) for _ in range(n)], [[rnd.randrange(9) for _ in range(k)] for _ in range(n)], Fraction(rnd.randrange(12), 2)
+        rows = [list(x) for x in zip(*slopes)]
+        best, excess = best_mixture(bases, slopes, bound)
+        assert verified(bases, rows, [bound + excess] * k, best.weights, best.duals)
+        assert excess == 0 or minimum(bases, rows, [bound + excess - Fraction(1, 1000)] * k) is None
+        goal = rnd.randrange(30)
+        gap = least_gap(bases, slopes, bound, goal)
+        assert (gap.value == 0) == (excess == 0 and best.value <= goal) and gap.value == sum(gap.extra)
+        assert keeps_bounds(bases, slopes, best.weights, bound, goal) == (excess == 0 and best.value < goal)
+        widths = [rnd.choice([None, rnd.randrange(4)]) for _ in range(k)]
+        box = box_mixture(bases, slopes, widths, bound)
+        seen.add((excess > 0, box is None))
+        if box is not None:
+            mixed = [sum(w * x for w, x in zip(box.weights, row)) for row in rows]
+            paid = sum(max(Fraction(0), g - bound) * w for g, w in zip(mixed, widths) if w is not None)
+            assert box.value == sum(w * b for w, b in zip(box.weights, bases)) + paid and all(g <= bound for g, w in zip(mixed, widths) if w is None)
+            assert excess > 0 or box.value <= best.value
+    assert len(seen) >= 3
 
 
 def test_mixtures(spark):
