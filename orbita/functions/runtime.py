@@ -40,10 +40,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(_remove, spark, path)
+
+
 def _fresh(spark: SparkSession) -> tuple[str, str]:
     name = f"orbita_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
-    atexit.register(_remove, spark, path)
+    remove_at_exit(spark, path)
     return name, path
 
 

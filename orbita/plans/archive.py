@@ -238,12 +238,14 @@ def richest_per_source(spark, sf):
 @query(f"""WITH r AS (SELECT engine, id, score, ntile(6) OVER (PARTITION BY engine ORDER BY score, id) AS tile FROM candidates WHERE score IS NOT NULL AND NOT CAST(score AS VARCHAR) = 'nan')
   SELECT engine, CAST(tile AS INTEGER) AS tile, count(*) AS n, min(score) AS low, max(score) AS high FROM r GROUP BY engine, tile""")
 def score_tiles(spark, sf):
-    """Six equal groups of each engine's candidates by score and id: each row's place is the number of rows
-    in lower scores plus its place among equals, so no engine is sorted in one task."""
-    rows = table(spark, sf, "candidates").where("score IS NOT NULL AND NOT isnan(score)").select("engine", "id", (F.col("score") + 0.0).alias("score"))
+    """Six equal groups of each engine's candidates by score and id: each score's place is the number of rows in lower ones.
+    Scores are cut into stretches by a logarithm of theirs, which keeps their order, so no engine is sorted in one task."""
+    rows = table(spark, sf, "candidates").where("score IS NOT NULL AND NOT isnan(score)").select("engine", (F.col("score") + 0.0).alias("score"))
     sizes = rows.groupBy("engine", "score").agg(F.count("*").alias("n"))
-    lower = F.sum("n").over(Window.partitionBy("engine").orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    places = sizes.select(F.col("engine").alias("e"), "score", "n", F.coalesce(lower, F.lit(0)).alias("lower"), F.sum("n").over(Window.partitionBy("engine")).alias("all"))
+    stretch = F.floor(F.signum("score") * 256 * F.least(F.log2(1 + F.abs("score")), F.lit(1100.0)))
+    placed = running(sizes, ["engine"], stretch, ["score"], F.col("n"), "lower", agg=F.sum)
+    totals = sizes.groupBy(F.col("engine").alias("e")).agg(F.sum("n").alias("all"))
+    places = placed.join(totals, F.col("engine").eqNullSafe(F.col("e"))).select("e", "score", "n", "lower", "all")
     # A tile only needs the extent of each score: equal scores are told apart by count, not by row.
     small, more = F.floor(F.col("all") / 6), F.col("all") % 6
     cut_at = lambda t: F.lit(t) * small + F.least(F.lit(t), more)

@@ -69,5 +69,15 @@ def stream_tally(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {**{f.__name__: f for f in (p1_found, p1_tables, p4_found, family_words, family_mixtures, family_frontier, stream_tally)}, **archive.QUERIES, **graphs.QUERIES, **wordplans.QUERIES, **rollupplans.QUERIES, **liftplans.QUERIES}
+_SCALARS = " UNION ALL ".join(
+    f"""SELECT id, '{f}' AS field, fullkey AS path, CASE WHEN regexp_matches(fullkey, '\\].*\\.[^\\]]+(\\[\\d+\\])+$') THEN regexp_extract(fullkey, '^(.*\\])(\\.[^.\\[\\]]+)+(\\[\\d+\\])+$', 1) ELSE '$' END AS parent_path, type,
+      regexp_extract(fullkey, '^(.*\\])', 1) AS owner, regexp_extract(fullkey, '\\]\\.([^\\]]*)$', 1) AS label, coalesce(atom ->> '$', 'null') AS value
+    FROM (SELECT c.id, t.fullkey, t.type, t.atom FROM (SELECT id, CASE WHEN json_type({f}) = 'VARCHAR' THEN CASE WHEN json_valid({f} ->> '$') THEN {f} ->> '$' END ELSE {f} END AS j FROM candidates WHERE json_valid({f})) c, json_tree(c.j) t)"""
+    for f in JSON_FIELDS
+)
+_P1_TABLES = f"""WITH x AS ({_SCALARS}), o AS (SELECT id, field, path, parent_path FROM x WHERE type = 'OBJECT' AND path LIKE '%]'), s AS (SELECT id, field, owner, string_agg(label || '=' || value, chr(10) ORDER BY label || '=' || value) AS scalars FROM x WHERE type NOT IN ('OBJECT', 'ARRAY') AND label <> '' GROUP BY id, field, owner)
+  SELECT o.id, o.field, path, parent_path, regexp_replace(path, '\\[\\d+\\]', '[]', 'g') AS "table", coalesce(scalars, '') AS scalars FROM o LEFT JOIN s ON s.id = o.id AND s.field = o.field AND s.owner = o.path"""
+
 SQL: dict[str, str] = {
+    "p1_tables": _P1_TABLES,
     "p1_found": _P1, "p4_found": _P4, "stream_tally": "SELECT event, status, count(*) AS lines FROM (SELECT DISTINCT log_id, event, status FROM run_log) GROUP BY event, status", **archive.SQL, **graphs.SQL, **wordplans.SQL, **rollupplans.SQL, **liftplans.SQL}

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbita.functions.runtime import remove_at_exit, shared_folder
+
 
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet files of a log: those there and those that come. ``path`` is a folder
@@ -26,9 +28,12 @@ def once(lines: DataFrame, delay: str = "4 days") -> DataFrame:
 
 
 def tally(spark: SparkSession, path: str) -> DataFrame:
-    """``event, status, lines`` after all that is there now; the stream ends then."""
-    name = f"tally_{uuid.uuid4().hex}"
+    """``event, status, lines`` after all that is there now; the stream ends then. Each batch's counts replace the table
+    of the batch before in the shared folder; nothing passes through the driver."""
     counts = once(log_stream(spark, path)).groupBy("event", "status").agg(F.count("*").alias("lines"))
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    out = f"{shared_folder(spark)}/orbita_{uuid.uuid4().hex}"
+    remove_at_exit(spark, out)
+    query = counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{out}_state").trigger(availableNow=True).start()
+    remove_at_exit(spark, f"{out}_state")
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(counts.schema).parquet(out)
