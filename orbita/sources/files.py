@@ -45,6 +45,25 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("graphs").alias("g")).select("g.*")
 
 
+FAMILY_SCHEMA = "set string, id string, m int, labels array<int>, mask bigint, k int, budget_unit int, slope_bound int"
+
+
+def read_families(spark: SparkSession, path: str, allow_holdout: bool = False) -> DataFrame:
+    """Families of a frozen set (JSON lines). Refused (ValueError) are held-out sets unless allowed, ids that come twice, labels that
+    are no order of 1..m, and any k, budget or slope bound that is not what labels and mask give."""
+    rows = spark.read.schema(FAMILY_SCHEMA).option("mode", "FAILFAST").json(path)
+    m, k = F.size("labels"), F.bit_count("mask")
+    right = (F.sort_array("labels") == F.sequence(F.lit(1), m)) & (m == F.col("m")) & (k == F.col("k")) & (F.col("mask") < F.call_function("shiftleft", F.lit(1).cast("bigint"), m + 1))
+    right = right & (S.budget(m, k) == F.col("budget_unit")) & (F.col("slope_bound") == m - 2)
+    bad = lambda c: F.count(F.when(c, 1))
+    found = rows.agg(bad(F.col("set") == "holdout").alias("holdout"), bad(~F.coalesce(right, F.lit(False))).alias("wrong"), F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first()
+    if found["holdout"] and not allow_holdout:
+        raise ValueError(f"{path} is held out")
+    if found["n"] != found["ids"] or found["wrong"]:
+        raise ValueError(f"{path}: {found['n'] - found['ids']} ids repeated, {found['wrong']} families not as recomputed")
+    return rows
+
+
 #: Bytes of a distance file that are read together.
 BLOCK_BYTES = 1 << 20
 
