@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from orbita.llm.copies import copy_classes
 from orbita.llm.mixture import draw_mixture
 from orbita.llm.near import near_groups, near_pairs
 from orbita.llm.topn import top_n
-from orbita.llm.visual import look_alike_pairs, visual_form
+from orbita.llm.visual import LOOK_ALIKES, _parts, look_alike_pairs, visual_form
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,7 +94,29 @@ _NEAR = f"""{_COPIES}, d AS (SELECT id, unnest(['source', 'source_diff']) AS fie
     b AS (SELECT a.field, a.id AS id_a, b.id AS id_b, count(*) AS hits FROM z a JOIN z b ON a.field = b.field AND a.t = b.t AND a.id < b.id GROUP BY ALL),
     p AS (SELECT b.field, id_a, id_b FROM b JOIN n x ON x.field = b.field AND x.id = id_a JOIN n y ON y.field = b.field AND y.id = id_b WHERE 5 * hits >= 4 * (x.n + y.n - hits))"""
 
+
+
+def _form_sql(text: str) -> str:
+    """SQL of the one form of a text: characters that become one other or none by translation, those that become several by
+    replacement, then composition by the database. The look-alikes are the fixed ones."""
+    one, gone, several = [], [], []
+    for cp in range(1, 0x30000):
+        ch = chr(cp)
+        if ch in "\r\n\t" or 0xD800 <= cp <= 0xF8FF or 0x3400 <= cp <= 0x9FFF or 0xAC00 <= cp <= 0xD7A3:
+            continue
+        to = unicodedata.normalize("NFC", "".join(map(chr, _parts(cp, LOOK_ALIKES))))
+        if to == unicodedata.normalize("NFC", ch):
+            continue
+        (gone if not to else one if len(to) == 1 else several).append((ch, to))
+    text = f"replace(replace({text}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    for ch, to in several:
+        text = f"replace({text}, '{ch}', '{to}')"
+    quoted = lambda chars: "'" + "".join(chars).replace("'", "''") + "'"
+    return f"nfc_normalize(translate({text}, {quoted([c for c, _ in one + gone])}, {quoted([t for _, t in one])}))"
+
+
 SQL = {
+    "p8_found": f"""WITH f AS (SELECT doc_id, text, {_form_sql('text')} AS form FROM documents WHERE text IS NOT NULL) SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text WHERE trim(translate(a.form, chr(9) || chr(10), '  ')) <> ''""",
     "p3_found": f"WITH {_COPIES} SELECT first_id, id AS copy_id FROM c WHERE id <> first_id",
     "p3_records": f"WITH {_COPIES} SELECT id, copies FROM c WHERE id = first_id",
     "p5_found": f"WITH {_NEAR} SELECT field, id_a, id_b FROM p",
