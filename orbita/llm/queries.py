@@ -116,6 +116,7 @@ def _form_sql(text: str) -> str:
 
 
 SQL = {
+    "p8_form": f"SELECT doc_id, {_form_sql('text')} AS form FROM documents",
     "p8_found": f"""WITH f AS (SELECT doc_id, text, {_form_sql('text')} AS form FROM documents WHERE text IS NOT NULL) SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text WHERE trim(translate(a.form, chr(9) || chr(10), '  ')) <> ''""",
     "p3_found": f"WITH {_COPIES} SELECT first_id, id AS copy_id FROM c WHERE id <> first_id",
     "p3_records": f"WITH {_COPIES} SELECT id, copies FROM c WHERE id = first_id",

@@ -190,7 +190,7 @@ def test_visual_form(spark):
         ("ＡＢ（１）", "AB(1)"), ("é", "é"), ("с​о", "co"), ("a b　c", "a b c"), ("a\r\nb\rc d", "a\nb\nc\nd"), ("ﬁ Ⅻ", "fi XII"), ("й", "й"), ("ё", "ë"), ("ậ", "ậ"),
         ("한", "한"), ("µ", "μ"), ("a­b﻿", "ab"), ("ｶﾞ", "ガ"),
     ]
-    differ = ["a", "á", "à", "A", "²", "2", "l", "1", "I", "-", "–", "'", "’", "½", "1/2", "ab", "a b", "a  b", "a\tb"]
+    differ = ["г", "r", "γ", "y", "σ", "o", "a", "á", "à", "A", "²", "2", "l", "1", "I", "-", "–", "'", "’", "½", "1/2", "ab", "a b", "a  b", "a\tb"]
     texts = [t for p in same for t in p] + differ + [None, "", "​", " \n", "é" * 4000, "é" * 4000, "́x", "x" + "̀" * 300]
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id bigint, text string, form string")
     form = {r.doc_id: r.form for r in visual_form(df, "doc_id", "text").collect()}
