@@ -44,18 +44,20 @@ def check_values(table: DataFrame, expression, m: int, r: int, descend: bool = F
     return rows.select("p", "d", "value", ok.alias("ok"), F.when(ok, F.col("value") - F.col("d")).alias("gap"), "reason")
 
 
-def score(checked: DataFrame, m: int, r: int) -> DataFrame:
+def score(checked: DataFrame, m: int, r: int, incomplete: int = 0) -> DataFrame:
     """One row: ``states, failures, value_max, gap_mean`` (3 decimals), ``gap_max, excess, score``.
 
-    ``excess`` is the greatest value less the budget, from m = 8 on. Sums are of whole numbers, so they don't
-    depend on the order. The score of an empty table is null."""
+    ``excess`` is the greatest value less the budget, from m = 8 on. States a limit left ``incomplete`` count as failures in the
+    rate, never as states that were checked. Sums are of whole numbers, so they don't depend on the order. The score of an
+    empty table is null."""
     total = checked.agg(
         F.count("*").alias("states"), F.count(F.when(~F.col("ok"), 1)).alias("failures"), F.max("value").alias("value_max"),
         F.round(F.sum("gap") / F.count("gap"), 3).alias("gap_mean"), F.max("gap").alias("gap_max"),
     )
     excess = F.col("value_max") - S.budget(m, r) if m >= BUDGET_FROM else F.lit(None).cast("bigint")
     total = total.withColumn("excess", excess)
-    value = -FAIL_WEIGHT * F.col("failures") / F.col("states") - EXCESS_WEIGHT * F.greatest(F.coalesce("excess", F.lit(0)), F.lit(0)) - F.coalesce("gap_mean", F.lit(0.0))
+    rate = (F.col("failures") + incomplete) / (F.col("states") + incomplete)
+    value = -FAIL_WEIGHT * rate - EXCESS_WEIGHT * F.greatest(F.coalesce("excess", F.lit(0)), F.lit(0)) - F.coalesce("gap_mean", F.lit(0.0))
     return total.withColumn("score", F.round(value, 4))
 
 

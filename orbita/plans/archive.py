@@ -78,14 +78,16 @@ def log_events(spark, sf):
     return raw.alias("a").join(once.alias("b"), F.col("a.event").eqNullSafe(F.col("b.event"))).select("a.event", "deliveries", "distinct_lines", "late_lines")
 
 
-@query(f"""WITH {_LINES}, c AS (SELECT log_id, run_id, t, valid, {_REAL} AS score FROM lines WHERE event = 'candidate'),
-  w AS (SELECT *, max(CASE WHEN valid THEN score END) OVER (PARTITION BY run_id ORDER BY t, log_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c)
-  SELECT log_id, run_id, before AS best_before, CASE WHEN valid IS NOT TRUE OR score IS NULL THEN 'invalid' WHEN before IS NULL OR score > before THEN 'keep' ELSE 'discard' END AS outcome FROM w""")
+@query(f"""WITH {_LINES}, c AS (SELECT log_id, run_id, t, valid, status, {_REAL} AS score FROM lines WHERE event = 'candidate'),
+  w AS (SELECT *, max(CASE WHEN valid AND status IS DISTINCT FROM 'duplicate' THEN score END) OVER (PARTITION BY run_id ORDER BY t, log_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c)
+  SELECT log_id, run_id, before AS best_before, CASE WHEN status = 'duplicate' THEN 'duplicate' WHEN valid IS NOT TRUE OR score IS NULL THEN 'invalid' WHEN before IS NULL OR score > before THEN 'keep' ELSE 'discard' END AS outcome FROM w""")
 def best_so_far(spark, sf):
-    rows = _lines(spark, sf, "run_id", "event", "t", "valid", "score").where("event = 'candidate'").withColumn("score", _real("score"))
-    out = running(rows, ["run_id"], F.date_trunc("hour", "t"), ["t", "log_id"], F.when(F.col("valid"), F.col("score")), "best_before")
+    """The best score before each proposal, and what became of it; duplicates and invalid ones raise no best."""
+    rows = _lines(spark, sf, "run_id", "event", "t", "valid", "status", "score").where("event = 'candidate'").withColumn("score", _real("score"))
+    fresh = F.col("valid") & ~F.col("status").eqNullSafe(F.lit("duplicate"))
+    out = running(rows, ["run_id"], F.date_trunc("hour", "t"), ["t", "log_id"], F.when(fresh, F.col("score")), "best_before")
     outcome = (
-        F.when(F.col("valid").isNull() | ~F.col("valid") | F.col("score").isNull(), "invalid")
+        F.when(F.col("status") == "duplicate", "duplicate").when(F.col("valid").isNull() | ~F.col("valid") | F.col("score").isNull(), "invalid")
         .when(F.col("best_before").isNull() | (F.col("score") > F.col("best_before")), "keep").otherwise("discard")
     )
     return out.select("log_id", "run_id", "best_before", outcome.alias("outcome"))

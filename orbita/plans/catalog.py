@@ -50,7 +50,7 @@ _P4 = """WITH RECURSIVE t(id, root_id, root_run_id, depth, path) AS (
 
 def family_words(spark: SparkSession, sf: str) -> DataFrame:
     """One word per cut for each family, with its prices."""
-    return word_profiles(table(spark, sf, "families"))
+    return word_profiles(table(spark, sf, "families")).withColumn("slopes", F.array_join(F.col("slopes").cast("array<string>"), " "))
 
 
 def family_mixtures(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +60,7 @@ def family_mixtures(spark: SparkSession, sf: str) -> DataFrame:
 
 def family_frontier(spark: SparkSession, sf: str) -> DataFrame:
     """Words of each family that no other word of it beats."""
-    return frontier(word_profiles(table(spark, sf, "families"))).select("id", "cut", "base", "slopes")
+    return frontier(word_profiles(table(spark, sf, "families"))).select("id", "cut", "base", F.array_join(F.col("slopes").cast("array<string>"), " ").alias("slopes"))
 
 
 def stream_tally(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,6 +78,24 @@ _SCALARS = " UNION ALL ".join(
 _P1_TABLES = f"""WITH x AS ({_SCALARS}), o AS (SELECT id, field, path, parent_path FROM x WHERE type = 'OBJECT' AND path LIKE '%]'), s AS (SELECT id, field, owner, string_agg(label || '=' || value, chr(10) ORDER BY label || '=' || value) AS scalars FROM x WHERE type NOT IN ('OBJECT', 'ARRAY') AND label <> '' GROUP BY id, field, owner)
   SELECT o.id, o.field, path, parent_path, regexp_replace(path, '\\[\\d+\\]', '[]', 'g') AS "table", coalesce(scalars, '') AS scalars FROM o LEFT JOIN s ON s.id = o.id AND s.field = o.field AND s.owner = o.path"""
 
+#: Sweeps as a recursion over single steps, then each word's run: turns since the last swap, passes of each zero since then.
+_FAMILY_WORDS = """b AS (SELECT id, m, k, unit_base, len(unit_base) AS n, unnest(range(0, len(unit_base))) AS cut FROM families WHERE unit_base IS NOT NULL AND len(unit_base) > 1),
+  s(id, cut, n, a, i, swaps, sweep, word, over) AS (SELECT id, cut, n, unit_base[cut + 1:] || unit_base[1:cut], 0, 0, '', repeat('L', cut), false FROM b UNION ALL
+    SELECT id, cut, n, CASE WHEN i = n - 1 THEN a WHEN x THEN a[1:i] || [a[i + 2], a[i + 1]] || a[i + 3:] ELSE a END, CASE WHEN i = n - 1 THEN 0 ELSE i + 1 END, CASE WHEN i = n - 1 THEN 0 ELSE swaps + CASE WHEN x THEN 1 ELSE 0 END END,
+      CASE WHEN i = n - 1 THEN '' ELSE sweep || CASE WHEN x THEN 'X' ELSE '' END || 'L' END, CASE WHEN i = n - 1 AND swaps > 0 THEN word || sweep || 'L' ELSE word END, i = n - 1 AND swaps = 0
+    FROM (SELECT *, i < n - 1 AND CASE WHEN a[i + 1] = 0 THEN 99 ELSE a[i + 1] END > CASE WHEN a[i + 2] = 0 THEN 99 ELSE a[i + 2] END AS x FROM s WHERE NOT over) z),
+  w AS (SELECT s.id, b.m, b.k, s.cut, s.word, [CASE WHEN b.unit_base[i] = 0 THEN -len(list_filter(b.unit_base[1:i], lambda y: y = 0)) ELSE b.unit_base[i] END for i in range(1, b.n + 1)] AS own FROM s JOIN b ON b.id = s.id AND b.cut = s.cut WHERE over),
+  r(id, cut, k, word, p, a, d, c, base, slope, fits, bad) AS (SELECT id, cut, k, word, 0, own, 0, [0 for _ in range(0, k)], 0, [0 for _ in range(0, k)], true, false FROM w UNION ALL
+    SELECT id, cut, k, word, p + 1, CASE x WHEN 'L' THEN a[2:] || a[1:1] WHEN 'R' THEN a[len(a):] || a[1:len(a) - 1] ELSE [a[2], a[1]] || a[3:] END,
+      CASE x WHEN 'L' THEN d + 1 WHEN 'R' THEN d - 1 ELSE 0 END, CASE WHEN x = 'L' THEN [c[j] + CASE WHEN a[1] = -j THEN 1 ELSE 0 END for j in range(1, k + 1)] WHEN x = 'R' THEN [c[j] - CASE WHEN a[len(a)] = -j THEN 1 ELSE 0 END for j in range(1, k + 1)] ELSE [CASE WHEN a[2] = -j THEN -1 ELSE 0 END for j in range(1, k + 1)] END,
+      base + CASE WHEN x = 'X' THEN 1 + abs(d) ELSE 0 END, CASE WHEN x = 'X' THEN [slope[j] + abs(c[j] + CASE WHEN a[1] = -j THEN 1 ELSE 0 END) + CASE WHEN a[1] = -j OR a[2] = -j THEN 2 ELSE 0 END for j in range(1, k + 1)] ELSE slope END,
+      fits AND (x <> 'X' OR (d >= 0 AND list_min([c[j] + CASE WHEN a[1] = -j THEN 1 ELSE 0 END for j in range(1, k + 1)]) >= 0) OR (d <= 0 AND list_max([c[j] + CASE WHEN a[1] = -j THEN 1 ELSE 0 END for j in range(1, k + 1)]) <= 0)), bad OR (x = 'X' AND a[1] < 0 AND a[2] < 0)
+    FROM (SELECT *, word[p + 1:p + 1] AS x FROM r WHERE p < length(word)) z),
+  f AS (SELECT r.id, w.m, r.k, r.cut, r.word, base + abs(d) AS base, [slope[j] + abs(c[j]) for j in range(1, r.k + 1)] AS slopes, fits AND ((d >= 0 AND list_min(c) >= 0) OR (d <= 0 AND list_max(c) <= 0)) AS same_sign, bad FROM r JOIN w ON w.id = r.id AND w.cut = r.cut WHERE p = length(r.word))"""
+_FAMILY_FRONTIER = f"""WITH RECURSIVE {_FAMILY_WORDS} SELECT id, CAST(cut AS INTEGER) AS cut, CAST(base AS BIGINT) AS base, array_to_string(slopes, ' ') AS slopes FROM f a WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.id = a.id AND o.base <= a.base AND len([1 for j in range(1, len(a.slopes) + 1) if o.slopes[j] > a.slopes[j]]) = 0 AND (o.base <> a.base OR o.slopes <> a.slopes OR o.cut < a.cut))"""
+
 SQL: dict[str, str] = {
+    "family_words": f"WITH RECURSIVE {_FAMILY_WORDS} SELECT id, m, k, CAST(cut AS INTEGER) AS cut, word, CAST(base AS BIGINT) AS base, array_to_string(slopes, ' ') AS slopes, same_sign, CASE WHEN bad THEN 'INVALID_OUTPUT' ELSE 'PRICED' END AS status FROM f",
+    "family_frontier": _FAMILY_FRONTIER,
     "p1_tables": _P1_TABLES,
     "p1_found": _P1, "p4_found": _P4, "stream_tally": "SELECT event, status, count(*) AS lines FROM (SELECT DISTINCT log_id, event, status FROM run_log) GROUP BY event, status", **archive.SQL, **graphs.SQL, **wordplans.SQL, **rollupplans.SQL, **liftplans.SQL, **searchplans.SQL, **sinkplans.SQL, **certplans.SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orbita.functions import states as S
@@ -128,3 +129,23 @@ def _deletions(spark):
     rows = D.distance_table(spark, 5, 2).select("p", "d", F.explode(keys).alias("key"))
     met = rows.join(smaller.select(F.col("p").alias("key"), F.col("d").alias("e")), "key")
     return met.groupBy("p", "d").agg(F.min("e").alias("low"), F.max("e").alias("high")), p
+
+
+@query(f"""WITH RECURSIVE {_walk('123400', 16)}, {_marked(4, 2, 10, 26)} SELECT t.v, CAST(t.d AS INTEGER) AS d, a.a, CAST(row_number() OVER (ORDER BY a.a DESC, t.v) AS INTEGER) AS place FROM t JOIN a ON a.v = t.v AND a.q = 10 ORDER BY a.a DESC, t.v LIMIT 5""")
+def lifting_examples_4_2(spark, sf):
+    """The states with the longest least words under the cap, equal ones by state."""
+    both = D.distance_table(spark, 4, 2).join(D.minima(D.of_cap(D.lifted_layers(spark, 4, 2, 10), 10), 6), "p").select(_text("p", 6).alias("v"), "d", "a")
+    top = both.orderBy(F.desc("a"), "v").limit(5)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("a"), "v")))
+
+
+@query(f"""WITH RECURSIVE {_walk('123400', 16)}, {_marked(4, 2, 10, 26)}, x AS (SELECT t.d, a.a FROM t LEFT JOIN a ON a.v = t.v AND a.q = 10) SELECT count(*) AS visible, count(*) FILTER (WHERE a IS NULL) AS no_word, count(*) FILTER (WHERE a > {S.budget(4, 2)}) AS over_budget, CAST(max(a) AS INTEGER) AS max_a, count(*) FILTER (WHERE a = d) AS equal_distance, count(*) FILTER (WHERE a < d) AS below_distance,
+  (SELECT string_agg(CAST(e AS VARCHAR) || ':' || n, ' ' ORDER BY e) FROM (SELECT a - 10 AS e, count(*) AS n FROM x WHERE a - 10 >= -3 GROUP BY e)) AS histogram FROM x""")
+def lifting_summary_4_2(spark, sf):
+    """One row of counts with the upper end of the histogram, from three below the cap on."""
+    both = D.distance_table(spark, 4, 2).join(D.lifted_minima(spark, 4, 2, 10), "p")
+    count = lambda c: F.count(F.when(c, 1))
+    total = both.agg(F.count("*").alias("visible"), count(F.col("a").isNull()).alias("no_word"), count(F.col("a") > S.budget(4, 2)).alias("over_budget"), F.max("a").alias("max_a"), count(F.col("a") == F.col("d")).alias("equal_distance"), count(F.col("a") < F.col("d")).alias("below_distance"))
+    bars = both.where("a >= 7").groupBy((F.col("a") - 10).alias("e")).agg(F.count("*").alias("n"))
+    text = bars.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("e", "n"))), lambda x: F.concat(x["e"].cast("string"), F.lit(":"), x["n"].cast("string"))), " ").alias("histogram"))
+    return total.crossJoin(F.broadcast(text))
