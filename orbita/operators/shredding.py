@@ -13,6 +13,8 @@ Everything happens inside one map over Arrow batches: no shuffle, no state betwe
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import json
 import re
 from collections.abc import Iterator
@@ -176,6 +178,7 @@ def shred(docs: list) -> list[LevelColumn]:
                 stack.append((_enter_field(col, name), owner))
         if kinds - {dict, list, object}:
             owner.leaves.append(col)
+    root.leaves.clear()
     return out
 
 
@@ -250,28 +253,33 @@ def _text(value) -> str | None:
     return "true" if value else "false"
 
 
-def assemble(col: LevelColumn) -> tuple[np.ndarray, str, list[str], list[str], list]:
+def assemble(col: LevelColumn) -> tuple[np.ndarray, str, list[str], list[str], pa.Array | None]:
     """Rows of one repeated ancestor from its levels: record, table, path, parent path, scalars."""
     is_object = np.fromiter((type(v) is dict for v in col.values), bool, len(col.values))
     rows = np.flatnonzero(is_object & (col.definition == col.max_def))
     if not len(rows):
-        return col.record[rows], "", [], [], []
+        return col.record[rows], "", [], [], None
     steps = col.steps
     path, parent, name, parent_used = _templates(steps)
     at = [positions(col.rep, k)[rows].tolist() for k in range(1, col.max_rep + 1)]
     paths = [path % p for p in zip(*at)]
     parents = [parent % p for p in zip(*at[:parent_used])] if parent_used else ["$"] * len(rows)
-    all_scalars: list = [{} for _ in col.values]
+    row_of = np.zeros(len(col.values), np.int64)
+    row_of[rows] = np.arange(len(rows))
+    at_rows, labels, texts = [np.zeros(0, np.int64)], [], []
     for leaf in col.leaves:
         if leaf is col:
             continue
-        label = ".".join(leaf.steps[len(steps):])
         mine = np.zeros(int(col.record[-1]) + 1, bool)
         mine[leaf.record] = True
-        for entry, value in zip(np.flatnonzero(mine[col.record]).tolist(), leaf.values):
-            if value is not _MISSING and type(value) is not dict and type(value) is not list:
-                all_scalars[entry][label] = _text(value)
-    return col.record[rows], name, paths, parents, [list(all_scalars[i].items()) for i in rows.tolist()]
+        scalar = [v is not _MISSING and type(v) is not dict and type(v) is not list for v in leaf.values]
+        at_rows.append(row_of[np.flatnonzero(mine[col.record])[np.array(scalar, bool)]])
+        labels += [".".join(leaf.steps[len(steps):])] * len(at_rows[-1])
+        texts += [_text(v) for v, s in zip(leaf.values, scalar) if s]
+    at_row = np.concatenate(at_rows)
+    order = pa.array(np.argsort(at_row, kind="stable"))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(at_row, minlength=len(rows)))]).astype(np.int32)
+    return col.record[rows], name, paths, parents, pa.MapArray.from_arrays(pa.array(offsets), _strings(labels).take(order), _strings(texts).take(order))
 
 
 def _level_values(col: LevelColumn, is_element: bool) -> list:
@@ -288,6 +296,24 @@ def _strings(values: list) -> pa.Array:
         return pa.array([v if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
 
 
+@contextlib.contextmanager
+def _without_collector():
+    """Values of JSON texts hold no cycles; the collector would walk all of them again and again. Columns are taken apart by
+    :func:`_released`."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+def _released(columns: list[LevelColumn]) -> None:
+    for col in columns:
+        col.leaves.clear()
+
+
 def nested_tables(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """Flat tables of all JSON objects that are array elements, at any depth, of the JSON ``fields``.
 
@@ -307,25 +333,23 @@ def nested_tables(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     names = list(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch):
-                ids = part.column(0)
-                for k, name in enumerate(names, 1):
-                    docs = [read_json(t) for t in part.column(k).to_pylist()]
-                    for col in shred(docs):
-                        record, tab, paths, parents, scalars = assemble(col)
-                        if not len(record):
-                            continue
-                        n = len(record)
-                        flat = [kv for row in scalars for kv in row]
-                        offsets = np.concatenate([[0], np.cumsum([len(r) for r in scalars])]).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                ids.take(pa.array(record)), pa.array([name] * n, pa.string()), _strings(paths), _strings(parents), _strings([tab] * n),
-                                pa.MapArray.from_arrays(pa.array(offsets), _strings([k for k, _ in flat]), _strings([v for _, v in flat])),
-                            ],
-                            names=schema.names,
-                        )
+        with _without_collector():
+            for batch in batches:
+                for part in _slices(batch):
+                    yield from tables(part)
+
+    def tables(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids = part.column(0)
+        for k, name in enumerate(names, 1):
+            docs = [read_json(t) for t in part.column(k).to_pylist()]
+            columns = shred(docs)
+            for col in columns:
+                record, tab, paths, parents, scalars = assemble(col)
+                if not len(record):
+                    continue
+                n = len(record)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(record)), pa.array([name] * n, pa.string()), _strings(paths), _strings(parents), _strings([tab] * n), scalars], names=schema.names)
+            _released(columns)
 
     return df.select(df[id_col].alias("id"), *[df[f].cast("string").alias(f"f{i}") for i, f in enumerate(fields)]).mapInArrow(run, schema)
 
