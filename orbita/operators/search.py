@@ -106,3 +106,88 @@ def beam_search(starts: DataFrame, expression, m: int, r: int, width: int, max_e
     for x in results[1:]:
         out = out.unionByName(x)
     return out
+
+
+# Search bounded by patterns: labels above a limit are taken for zeros, which gives a smaller graph whose distances never exceed the true ones.
+
+def pattern(p: Column, n: int, labels: int) -> Column:
+    """Key of a state with all labels above ``labels`` taken for zeros."""
+    return F.aggregate(F.reverse(S.cells(p, n)), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 4).bitwiseOR(F.when(x > labels, 0).otherwise(x).cast("bigint")))
+
+
+def inconsistent(table: DataFrame, n: int) -> int:
+    """Edges of a pattern table (``p, d``) along which its values differ by more than 1: must be none for it to prune exactly."""
+    near = table.select("d", F.explode(F.array(*[q for _, q in S.moves(F.col("p"), n)])).alias("q"))
+    return near.join(table.select(F.col("p").alias("q"), F.col("d").alias("e")), "q").where(F.abs(F.col("d") - F.col("e")) > 1).count()
+
+
+def bounded_search(asked: DataFrame, patterns: DataFrame, m: int, r: int, labels: int, max_states: int = 10_000_000) -> DataFrame:
+    """``start, bound, status, length, states`` for rows ``start, bound`` (a state and K): ``FOUND`` with the length of a shortest word if
+    that is below K, else ``PROVED``: no shorter word than K letters exists. ``INCOMPLETE`` is raised as :class:`Incomplete` beyond
+    ``max_states``, never taken for a proof.
+
+    A state at g letters from the start is kept only while g plus its pattern's distance (``patterns``: ``p, d`` of the graph with
+    ``labels`` labels) is below K, so exactly these states are made; ``states`` is their number. All searches go a letter a round
+    together, and as moves are undone by moves, what is new is only tested against the last two rounds."""
+    n, root = m + r, S.root_key(m, r)
+    h = patterns.select(F.col("p").alias("key"), F.col("d").alias("h"))
+    first = asked.select("start", "bound", F.col("start").alias("p")).withColumn("key", pattern(F.col("p"), n, labels)).join(h, "key").where(F.col("h") < F.col("bound")).select("start", "bound", "p")
+    before, now, parts, g, total = None, cut(first), [], 0, 0
+    while True:
+        size = now.count()
+        total += size
+        if total > max_states:
+            raise Incomplete(f"more than {max_states} states")
+        parts.append(now.withColumn("g", F.lit(g)))
+        if not size:
+            break
+        g += 1
+        near = now.select("start", "bound", F.explode(F.array(*[q for _, q in S.moves(F.col("p"), n)])).alias("p")).distinct()
+        for old in (now, before):
+            near = near if old is None else near.join(old, ["start", "bound", "p"], "left_anti")
+        kept = near.withColumn("key", pattern(F.col("p"), n, labels)).join(h, "key").where(F.col("h") + g < F.col("bound")).select("start", "bound", "p")
+        before, now = now, cut(kept)
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    found = out.groupBy("start", "bound").agg(F.min(F.when(F.col("p") == root, F.col("g"))).alias("length"), F.count("*").alias("states"))
+    both = asked.join(found, ["start", "bound"], "left")
+    return both.select("start", "bound", F.when(F.col("length").isNotNull(), "FOUND").otherwise("PROVED").alias("status"), "length", F.coalesce("states", F.lit(0)).alias("states"))
+
+
+def all_words(table: DataFrame, asked: DataFrame, m: int, r: int) -> DataFrame:
+    """``start, word``: every shortest word of the asked states (column ``p``), down a distance table (``p, d``), a letter a round."""
+    n = m + r
+    now = cut(asked.select(F.col("p").alias("start"), "p", F.lit("").alias("word")).join(table, "p"))
+    for _ in range(now.agg(F.max("d")).first()[0] or 0):
+        ways = now.where("d > 0").select("start", "word", (F.col("d") - 1).alias("d"), F.explode(F.array(*[F.struct(F.lit(x).alias("x"), q.alias("q")) for x, q in S.moves(F.col("p"), n)])).alias("s"))
+        down = ways.select("start", F.concat("word", "s.x").alias("word"), "d", F.col("s.q").alias("p")).join(table, ["p", "d"])
+        older, now = now, cut(now.where("d = 0").select("start", "p", "word", "d").unionByName(down.select("start", "p", "word", "d")))
+        free(older)
+    return now.select("start", "word")
+
+
+def tree_leaves(trees: DataFrame, axes: int) -> DataFrame:
+    """``id, leaf, low, high`` of certificate trees (``id, tree``: JSON of ``{"j", "t", "le", "ge"}`` splits and anything else as leaves): the box of
+    each leaf, from 0 and without an end (null) at first; left of a split the axis ends at t, right it begins at t + 1. The boxes of
+    a tree cover all of it and no two meet. A split outside its box fails the query. ``leaf`` is the path of splits, l and r."""
+    schema = "j int, t int, le string, ge string"
+    start = F.array_repeat(F.lit(0), axes), F.array_repeat(F.lit(None).cast("int"), axes)
+    now, done = cut(trees.select("id", F.lit("").alias("leaf"), F.col("tree").alias("node"), start[0].alias("low"), start[1].alias("high"))), []
+    put = lambda xs, j, value: F.transform(xs, lambda x, i: F.when(i == j, value).otherwise(x))
+    while True:
+        read = now.withColumn("s", F.from_json("node", schema))
+        split = F.coalesce(F.col("s.j").isNotNull() & F.col("s.t").isNotNull() & F.col("s.le").isNotNull(), F.lit(False))
+        done.append(read.where(~split).select("id", "leaf", "low", "high"))
+        lo, hi = F.element_at("low", F.col("s.j") + 1), F.element_at("high", F.col("s.j") + 1)
+        fits = (lo <= F.col("s.t")) & F.coalesce(F.col("s.t") + 1 <= hi, F.lit(True))
+        own = read.where(split).withColumn("ok", F.when(fits, True).otherwise(F.raise_error(F.concat(F.lit("split outside its box in "), F.col("id"))).cast("boolean"))).where("ok")
+        left = own.select("id", F.concat("leaf", F.lit("l")).alias("leaf"), F.col("s.le").alias("node"), "low", put(F.col("high"), F.col("s.j"), F.col("s.t")).alias("high"))
+        right = own.select("id", F.concat("leaf", F.lit("r")).alias("leaf"), F.col("s.ge").alias("node"), put(F.col("low"), F.col("s.j"), F.col("s.t") + 1).alias("low"), "high")
+        now = cut(left.unionByName(right))
+        if now.isEmpty():
+            break
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out

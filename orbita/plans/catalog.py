@@ -9,7 +9,7 @@ from orbita.functions.runtime import table
 from orbita.operators.hierarchy import hierarchy
 from orbita.operators.pricing import frontier, mixtures, word_profiles
 from orbita.operators.shredding import nested_tables
-from orbita.plans import archive, certplans, graphs, liftplans, rollupplans, searchplans, sinkplans, wordplans
+from orbita.plans import archive, certplans, graphs, liftplans, moreplans, rollupplans, searchplans, sinkplans, wordplans
 from orbita.streaming.tail import tally
 
 JSON_FIELDS = ["feedback_json", "traces_json", "provenance_json"]
@@ -68,7 +68,7 @@ def stream_tally(spark: SparkSession, sf: str) -> DataFrame:
     return tally(spark, f"{sf}/run_log.parquet")
 
 
-QUERIES = {**{f.__name__: f for f in (p1_found, p1_tables, p4_found, family_words, family_mixtures, family_frontier, stream_tally)}, **archive.QUERIES, **graphs.QUERIES, **wordplans.QUERIES, **rollupplans.QUERIES, **liftplans.QUERIES, **searchplans.QUERIES, **sinkplans.QUERIES, **certplans.QUERIES}
+QUERIES = {**{f.__name__: f for f in (p1_found, p1_tables, p4_found, family_words, family_mixtures, family_frontier, stream_tally)}, **archive.QUERIES, **graphs.QUERIES, **wordplans.QUERIES, **rollupplans.QUERIES, **liftplans.QUERIES, **searchplans.QUERIES, **sinkplans.QUERIES, **certplans.QUERIES, **moreplans.QUERIES}
 _SCALARS = " UNION ALL ".join(
     f"""SELECT id, '{f}' AS field, fullkey AS path, CASE WHEN regexp_matches(fullkey, '\\].*\\.[^\\]]+(\\[\\d+\\])+$') THEN regexp_extract(fullkey, '^(.*\\])(\\.[^.\\[\\]]+)+(\\[\\d+\\])+$', 1) ELSE '$' END AS parent_path, type,
       regexp_extract(fullkey, '^(.*\\])', 1) AS owner, regexp_extract(fullkey, '\\]\\.([^\\]]*)$', 1) AS label, coalesce(atom ->> '$', 'null') AS value
@@ -98,4 +98,4 @@ SQL: dict[str, str] = {
     "family_words": f"WITH RECURSIVE {_FAMILY_WORDS} SELECT id, m, k, CAST(cut AS INTEGER) AS cut, word, CAST(base AS BIGINT) AS base, array_to_string(slopes, ' ') AS slopes, same_sign, CASE WHEN bad THEN 'INVALID_OUTPUT' ELSE 'PRICED' END AS status FROM f",
     "family_frontier": _FAMILY_FRONTIER,
     "p1_tables": _P1_TABLES,
-    "p1_found": _P1, "p4_found": _P4, "stream_tally": "SELECT event, status, count(*) AS lines FROM (SELECT DISTINCT log_id, event, status FROM run_log) GROUP BY event, status", **archive.SQL, **graphs.SQL, **wordplans.SQL, **rollupplans.SQL, **liftplans.SQL, **searchplans.SQL, **sinkplans.SQL, **certplans.SQL}
+    "p1_found": _P1, "p4_found": _P4, "stream_tally": "SELECT event, status, count(*) AS lines FROM (SELECT DISTINCT log_id, event, status FROM run_log) GROUP BY event, status", **archive.SQL, **graphs.SQL, **wordplans.SQL, **rollupplans.SQL, **liftplans.SQL, **searchplans.SQL, **sinkplans.SQL, **certplans.SQL, **moreplans.SQL}

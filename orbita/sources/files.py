@@ -64,6 +64,24 @@ def read_families(spark: SparkSession, path: str, allow_holdout: bool = False) -
     return rows
 
 
+STATE_SCHEMA = "set string, m int, r int, v array<int>, d int, budget int"
+
+
+def read_states(spark: SparkSession, path: str, allow_holdout: bool = False) -> DataFrame:
+    """States of a frozen set (JSON lines). Refused (ValueError) are held-out sets unless allowed, cells that are not the labels 1..m and r
+    zeros, another budget than m and r give, and distances below 0."""
+    rows = spark.read.schema(STATE_SCHEMA).option("mode", "FAILFAST").json(path)
+    want = F.concat(F.array_repeat(F.lit(0), F.col("r")), F.sequence(F.lit(1), F.col("m")))
+    right = (F.sort_array("v") == want) & (S.budget(F.col("m"), F.col("r")) == F.col("budget")) & (F.col("d") >= 0)
+    bad = lambda c: F.count(F.when(c, 1))
+    found = rows.agg(bad(F.col("set") == "holdout").alias("holdout"), bad(~F.coalesce(right, F.lit(False))).alias("wrong")).first()
+    if found["holdout"] and not allow_holdout:
+        raise ValueError(f"{path} is held out")
+    if found["wrong"]:
+        raise ValueError(f"{path}: {found['wrong']} states are not as they should be")
+    return rows
+
+
 #: Bytes of a distance file that are read together.
 BLOCK_BYTES = 1 << 20
 

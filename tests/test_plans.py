@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from orbita.plans import archive, certplans, graphs, liftplans, rollupplans, searchplans, sinkplans, wordplans
+from orbita.plans import archive, certplans, graphs, liftplans, moreplans, rollupplans, searchplans, sinkplans, wordplans
 
 SF = Path("/root/testdata/sf0.001")
 
@@ -32,7 +32,7 @@ def duck():
 
 
 MODULES = (archive, rollupplans, wordplans, sinkplans, certplans)
-SOME = {graphs: ("features_4_2", "rules_4_1", "spread_sample_5_2"), liftplans: ("lift_witnesses_3_2", "slack_profile_3_2"), searchplans: ("probe_set_4_2", "screen_4_2", "certify_4_2")}
+SOME = {graphs: ("features_4_2", "rules_4_1", "spread_sample_5_2"), liftplans: ("lift_witnesses_3_2", "slack_profile_3_2"), searchplans: ("probe_set_4_2", "screen_4_2", "certify_4_2"), moreplans: ("bounded_searches_4_2", "tree_boxes", "clause_domains_5", "next_islands")}
 NAMES = [(m, n) for m in MODULES for n in sorted(m.SQL)] + [(m, n) for m, names in SOME.items() for n in names]
 
 
