@@ -191,3 +191,29 @@ def tree_leaves(trees: DataFrame, axes: int) -> DataFrame:
     for x in done[1:]:
         out = out.unionByName(x)
     return out
+
+
+# Sorting on a fixed chart: the ring is cut open once, the cursor walks around it, and only neighbours that fall are swapped.
+
+def around(a: Column, b: Column, n: int) -> Column:
+    return F.least(F.abs(a - b), n - F.abs(a - b))
+
+
+def chart_costs(spark, n: int) -> DataFrame:
+    """``q, end, cost`` of all orders of n ranks (text, one digit each): ``cost[u]`` is the least number of letters that sorts them, swapping only
+    neighbours that fall, from cursor u to cursor ``end``. Orders of k inversions come from those of k - 1, one join each."""
+    ends = spark.range(n).select(F.col("id").cast("int").alias("end"))
+    start = F.array(*[around(F.lit(u), F.col("end"), n) for u in range(n)])
+    now = cut(ends.select(F.lit("".join(map(str, range(n)))).alias("q"), "end", start.alias("cost")))
+    done = [now]
+    for _ in range(n * (n - 1) // 2):
+        at = lambda i: F.substring("q", i + 1, 1)
+        ways = F.array(*[F.when(at(e) < at(e + 1), F.struct(F.concat(F.substring("q", 1, e), at(e + 1), at(e), F.substring("q", e + 3, n)).alias("q"), F.lit(e).alias("edge"), (F.element_at("cost", e + 1) + 1).alias("rest"))) for e in range(n - 1)])
+        up = now.select("end", F.explode(F.filter(ways, lambda x: x.isNotNull())).alias("s")).select("end", "s.*")
+        best = up.groupBy("q", "end").agg(F.array(*[F.min(around(F.lit(u), F.col("edge"), n) + F.col("rest")) for u in range(n)]).alias("cost"))
+        now = cut(best)
+        done.append(now)
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out

@@ -34,17 +34,20 @@ def query(sql: str):
 
 M, SCALE = 5, 3
 _RULE = {"lambda": "(a * 31 + b * 17) % 29 - 20", "mu": "(a * 13 + q * 7) % 11 - 8", "alpha": "(a * 7 + b * 5 + c * 3 + q * 11) % 13 - 9", "beta": "(a * 3 + b * 11 + c * 5 + q * 7) % 17 - 9", "gamma": "(a * 5 + b * 3 + c * 7 + q * 13) % 11 - 5"}
-_CERT = f"""i AS (SELECT range AS a FROM range(0, {M})), l AS (SELECT range AS q FROM range(1, {M})), p AS (SELECT x.a, y.a AS b FROM i x, i y WHERE x.a < y.a), tr AS (SELECT p.*, z.a AS c FROM p, i z WHERE z.a > p.b),
+
+
+def _cert(M: int) -> str:
+    return f"""i AS (SELECT range AS a FROM range(0, {M})), l AS (SELECT range AS q FROM range(1, {M})), p AS (SELECT x.a, y.a AS b FROM i x, i y WHERE x.a < y.a), tr AS (SELECT p.*, z.a AS c FROM p, i z WHERE z.a > p.b),
   lam AS (SELECT a, b, {_RULE['lambda']} AS v FROM p), mu AS (SELECT a, q, {_RULE['mu']} AS v FROM i, l), al AS (SELECT a, b, c, q, {_RULE['alpha']} AS v FROM tr, l), be AS (SELECT a, b, c, q, {_RULE['beta']} AS v FROM tr, l), ga AS (SELECT a, b, c, q, {_RULE['gamma']} AS v FROM tr, l)"""
 
 
-def _kappa(a: str, b: str, q: str) -> str:
+def _kappa(a: str, b: str, q: str, M: int = M) -> str:
     return f"(-{M} * (CASE WHEN {q} > {b} THEN 2 * (2 * {a} - {M} + 1) ELSE 0 END + CASE WHEN {q} < {M} - {a} THEN 2 * (2 * {b} - {M} + 1) ELSE 0 END) - 4 * ({M} - 2 * ({b} - {a})) * {q} + CASE WHEN {q} = {b} - {a} THEN {2 * M} ELSE 0 END)"
 
 
-def _slacks(lam: str, al: str, name: str) -> str:
+def _slacks(lam: str, al: str, name: str, M: int = M) -> str:
     return f"""t{name} AS (SELECT al.a, al.b, al.c, -(al.v + be.v + ga.v) AS slack FROM {al} al JOIN be ON (al.a, al.b, al.c) = (be.a, be.b, be.c) AND al.q + be.q <> {M} JOIN ga ON (al.a, al.b, al.c) = (ga.a, ga.b, ga.c) AND ga.q = (al.q + be.q) % {M}),
-  p{name} AS (SELECT lam.a, lam.b, l.q, {SCALE} * {_kappa('lam.a', 'lam.b', 'l.q')} - (lam.v + x.v + y.v - coalesce((SELECT sum(v) FROM {al} al WHERE al.a = lam.a AND al.b = lam.b AND al.q = l.q), 0) - coalesce((SELECT sum(v) FROM be WHERE be.b = lam.a AND be.c = lam.b AND be.q = l.q), 0) - coalesce((SELECT sum(v) FROM ga WHERE ga.a = lam.a AND ga.c = lam.b AND ga.q = l.q), 0)) AS slack
+  p{name} AS (SELECT lam.a, lam.b, l.q, {SCALE} * {_kappa('lam.a', 'lam.b', 'l.q', M)} - (lam.v + x.v + y.v - coalesce((SELECT sum(v) FROM {al} al WHERE al.a = lam.a AND al.b = lam.b AND al.q = l.q), 0) - coalesce((SELECT sum(v) FROM be WHERE be.b = lam.a AND be.c = lam.b AND be.q = l.q), 0) - coalesce((SELECT sum(v) FROM ga WHERE ga.a = lam.a AND ga.c = lam.b AND ga.q = l.q), 0)) AS slack
     FROM {lam} lam, l JOIN mu x ON true JOIN mu y ON true WHERE x.a = lam.a AND x.q = l.q AND y.a = lam.b AND y.q = {M} - l.q)"""
 
 
@@ -52,7 +55,7 @@ def _summary(kind: str, t: str) -> str:
     return f"SELECT '{kind}' AS kind, count(*) AS checks, count(*) FILTER (WHERE slack < 0) AS violations, CAST(min(slack) AS BIGINT) AS worst, CAST(coalesce(sum(-slack) FILTER (WHERE slack < 0), 0) AS BIGINT) AS shortfall FROM {t}"
 
 
-def _certificate(spark):
+def _certificate(spark, M: int = M):
     rows = None
     span = spark.range(M).select(F.col("id").alias("a"))
     b, c = (span.select(F.col("a").alias(x)) for x in "bc")
@@ -67,13 +70,13 @@ def _certificate(spark):
     return rows
 
 
-@query(f"WITH {_CERT}, {_slacks('lam', 'al', '1')} {_summary('triple', 't1')} UNION ALL {_summary('pair', 'p1')}")
+@query(f"WITH {_cert(M)}, {_slacks('lam', 'al', '1')} {_summary('triple', 't1')} UNION ALL {_summary('pair', 'p1')}")
 def certificate_check_5(spark, sf):
     """Every condition of a certificate: how many, how many fail, by how much."""
     return C.check(_certificate(spark), M, SCALE)
 
 
-@query(f"""WITH {_CERT}, {_slacks('lam', 'al', '1')}, dv AS (SELECT a, b, c, greatest(0, -min(slack)) AS d FROM t1 GROUP BY a, b, c), al2 AS (SELECT al.a, al.b, al.c, q, v - d AS v FROM al JOIN dv ON (al.a, al.b, al.c) = (dv.a, dv.b, dv.c)),
+@query(f"""WITH {_cert(M)}, {_slacks('lam', 'al', '1')}, dv AS (SELECT a, b, c, greatest(0, -min(slack)) AS d FROM t1 GROUP BY a, b, c), al2 AS (SELECT al.a, al.b, al.c, q, v - d AS v FROM al JOIN dv ON (al.a, al.b, al.c) = (dv.a, dv.b, dv.c)),
   {_slacks('lam', 'al2', '2')}, dp AS (SELECT a, b, greatest(0, -min(slack)) AS d FROM p2 GROUP BY a, b), lam2 AS (SELECT lam.a, lam.b, v - d AS v FROM lam JOIN dp ON (lam.a, lam.b) = (dp.a, dp.b)), {_slacks('lam2', 'al2', '3')}, j AS (SELECT -(SELECT sum(v) FROM lam2) - (SELECT sum(v) FROM mu) - {4 * 10 * SCALE * M} AS n)
   SELECT s.kind, s.checks, s.violations, {_fraction('CAST(j.n AS HUGEINT)', f'{SCALE * M}::HUGEINT')} AS epsilon FROM (SELECT * FROM ({_summary('triple', 't3')}) UNION ALL SELECT * FROM ({_summary('pair', 'p3')})) s, j""")
 def certificate_repair_5(spark, sf):
@@ -254,3 +257,18 @@ def fixed_word_lifts_3_2(spark, sf):
     rows = D.distance_table(spark, 3, 1, words=True).select(F.concat_ws("", S.cells(F.col("p"), 4)).alias("u"), "word", F.element_at(F.transform(F.array(ends), free), 1).alias("ends"))
     costs = F.aggregate(back, F.col("ends"), step)
     return rows.select("u", "word", F.posexplode(costs).alias("j", "length")).select("u", "j", "word", F.when(F.col("length") < (1 << 20), F.col("length")).alias("length"))
+
+
+_SIZES = (3, 4, 6)
+_ROLL = " UNION ALL ".join(f"""SELECT {m} AS m, * FROM (WITH {_cert(m)}, {_slacks('lam', 'al', '1', m)}, a AS (SELECT slack FROM t1 UNION ALL SELECT slack FROM p1) SELECT count(*) AS checks, count(*) FILTER (WHERE slack < 0) AS violations, CAST(coalesce(sum(-slack) FILTER (WHERE slack < 0), 0) AS BIGINT) AS shortfall FROM a)""" for m in _SIZES)
+
+
+@query(f"WITH r AS ({_ROLL}) SELECT m, checks, violations, shortfall, checks AS expected, CASE WHEN violations = 0 THEN 'PASS' ELSE 'INVALID' END AS status FROM r")
+def certificate_rollup(spark, sf):
+    """Certificates of several sizes: all conditions that have to be tested, what fails and by how much, and the verdict."""
+    out = None
+    for m in _SIZES:
+        one = C.check(_certificate(spark, m), m, SCALE).agg(F.sum("checks").alias("checks"), F.sum("violations").alias("violations"), F.sum("shortfall").alias("shortfall"))
+        one = one.select(F.lit(m).alias("m"), "checks", "violations", "shortfall", F.lit(C.expected_checks(m)).cast("bigint").alias("expected"), F.when(F.col("violations") == 0, "PASS").otherwise("INVALID").alias("status"))
+        out = one if out is None else out.unionByName(one)
+    return out

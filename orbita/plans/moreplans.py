@@ -137,3 +137,35 @@ def clause_domains_5(spark, sf):
     filled = F.sort_array(F.transform("w", lambda _, j: F.element_at("l", F.pmod(F.col("s") + j, F.lit(5)) + 1)))
     each = orders.crossJoin(F.broadcast(clauses)).groupBy("l", "r").agg(F.max(filled == F.col("w")).alias("ok"))  # a fixed list of clauses
     return each.groupBy("l").agg(F.count(F.when(F.col("ok"), 1)).alias("rows_met"), F.min("ok").alias("accepted")).select(F.concat_ws(" ", F.col("l").cast("array<string>")).alias("labels"), "rows_met", "accepted")
+
+
+_CHARTS = """c(q, fin, cost, k) AS (SELECT '01234', fin, [least(abs(u - fin), 5 - abs(u - fin)) for u in range(0, 5)], 0 FROM range(0, 5) x(fin) UNION ALL
+    SELECT q, fin, [list_min([least(abs(u - x.edge), 5 - abs(u - x.edge)) + x.rest for x in ways]) for u in range(0, 5)], k FROM (SELECT q, fin, k, list({'edge': edge, 'rest': rest}) OVER (PARTITION BY q, fin) AS ways, row_number() OVER (PARTITION BY q, fin) AS r FROM
+      (SELECT q[1:edge] || q[edge + 2:edge + 2] || q[edge + 1:edge + 1] || q[edge + 3:] AS q, fin, edge, cost[edge + 1] + 1 AS rest, k + 1 AS k FROM c, range(0, 4) y(edge) WHERE q[edge + 1:edge + 1] < q[edge + 2:edge + 2] AND k < 10) z) y2 WHERE r = 1)"""
+
+
+@query(f"""WITH RECURSIVE {_CHARTS}, {_walk('12300', 10)}, o AS (SELECT v, cut, fin, [CAST(x AS INTEGER) for x in string_split(v[cut + 1:] || v[1:cut], '')] AS l, list_sort([(i + fin) % 5 for i in [3, 4]]) AS z FROM t, range(0, 5) a(cut), range(0, 5) b(fin)),
+  r AS (SELECT v, cut, fin, array_to_string([CASE WHEN l[i] > 0 THEN (l[i] - 1 + fin) % 5 ELSE z[len(list_filter(l[1:i], lambda y: y = 0))] END for i in range(1, 6)], '') AS q FROM o)
+  SELECT v, CAST(b.x AS INTEGER) AS cost, CAST(b.cut AS INTEGER) AS cut, CAST(b.fin AS INTEGER) AS fin FROM (SELECT r.v, min({{'x': c.cost[(5 - r.cut) % 5 + 1], 'cut': r.cut, 'fin': r.fin}}) AS b FROM r JOIN c ON c.q = r.q AND c.fin = r.fin GROUP BY r.v)""")
+def charts_3_2(spark, sf):
+    """The cheapest chart of every state: where the ring is cut, where the sorted row begins, and the letters that takes."""
+    states = D.all_states(spark, 3, 2).select(S.cells(F.col("p"), 5).alias("c"), _flat("p", 5).alias("v"))
+    grid = spark.range(25).select(F.floor(F.col("id") / 5).cast("int").alias("cut"), (F.col("id") % 5).cast("int").alias("fin"))
+    rows = states.crossJoin(F.broadcast(grid))
+    window = F.concat(F.slice("c", F.col("cut") + 1, F.lit(5)), F.slice("c", F.lit(1), F.col("cut")))
+    rows = rows.select("v", "cut", "fin", window.alias("l"), F.array_sort(F.array(*[F.pmod(F.lit(i) + F.col("fin"), F.lit(5)) for i in (3, 4)])).alias("z"))
+    rank = F.transform("l", lambda x, i: F.when(x > 0, F.pmod(x - 1 + F.col("fin"), F.lit(5))).otherwise(F.element_at("z", F.greatest(F.lit(1), F.size(F.filter(F.slice("l", F.lit(1), i + 1), lambda y: y == 0))))))
+    asked = rows.select("v", "cut", "fin", F.array_join(rank.cast("array<string>"), "").alias("q"))
+    met = asked.join(Q.chart_costs(spark, 5).withColumnRenamed("end", "fin"), ["q", "fin"]).select("v", F.struct(F.element_at("cost", F.pmod(-F.col("cut"), F.lit(5)) + 1).alias("cost"), "cut", "fin").alias("b"))
+    return met.groupBy("v").agg(F.min("b").alias("b")).select("v", "b.cost", "b.cut", "b.fin")
+
+
+@query(f"""WITH RECURSIVE {_walk('12340', 12)}, x AS (SELECT v, CAST(range AS INTEGER) AS j FROM t, range(0, 6)) SELECT v AS u, j, v[1:j] || '0' || v[j + 1:5] AS inserted, v AS removed FROM x""")
+def zero_splices_4_1(spark, sf):
+    """A zero put in at every cell of every state, and taken out again."""
+    rows = D.all_states(spark, 4, 1).select("p", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), D._insert_zero(F.col("p"), j).alias("w")) for j in range(6)])).alias("s")).select("p", "s.*")
+    out = F.lit(None).cast("bigint")
+    for j in range(6):
+        low = (1 << (4 * j)) - 1
+        out = F.when(F.col("j") == j, F.col("w").bitwiseAND(low).bitwiseOR(F.shiftleft(F.shiftright("w", 4 * (j + 1)), 4 * j))).otherwise(out)
+    return rows.withColumn("back", out).select(_flat("p", 5).alias("u"), "j", _flat("w", 6).alias("inserted"), _flat("back", 5).alias("removed"))

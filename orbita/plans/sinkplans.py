@@ -180,3 +180,19 @@ def frozen_families(spark, sf):
             kept = False
         good = good.unionByName(spark.createDataFrame([(name, 0, 0, kept)], "id string, m int, k int, accepted boolean"))
     return good
+
+
+@query(f"WITH RECURSIVE {_walk('123400', 16)} SELECT CAST(d AS SMALLINT) AS d, count(*) AS states, true AS digest_refused FROM t GROUP BY d")
+def distance_files_4_2(spark, sf):
+    """A table written as a dense file of bytes by rank, read back in blocks; another digest than the file's is refused."""
+    place = _place(spark)
+    spark.range(1).write.parquet(f"{place}/x")  # the folder
+    path = f"{place}/d.bin".removeprefix("file:")
+    files.write_distance_file(D.distance_table(spark, 4, 2).select(S.rank(F.col("p"), 4, 2).alias("code"), "d"), path, 4, 2)
+    digest_ = files.file_digest(spark, path)
+    try:
+        files.read_distance_file(spark, path, 4, 2, "0" * 64)
+        refused = False
+    except ValueError:
+        refused = True
+    return files.read_distance_file(spark, path, 4, 2, digest_).groupBy("d").agg(F.count("*").alias("states")).withColumn("digest_refused", F.lit(refused))

@@ -134,6 +134,36 @@ def read_distance_file(spark: SparkSession, path: str, m: int, r: int, sha256: s
     return spark.range(-(-size // BLOCK_BYTES)).mapInArrow(run, "code bigint, d smallint")
 
 
+def write_distance_file(ranked: DataFrame, path: str, m: int, r: int) -> int:
+    """Writes ``code, d`` as a dense file of one byte a state in order of rank (255: not reached); the number of states written.
+
+    One file has to be written in order, so one task writes it, a block at a time as sorted rows come; a file that is there,
+    a table with codes missing or repeated, and distances of 255 and more are refused."""
+    size = S.states(m, r)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        if system.get_file_info(at).type != fs.FileType.NotFound:
+            raise ValueError(f"{path} is there already")
+        done = 0
+        with system.open_output_stream(f"{at}.draft") as out:
+            for batch in batches:
+                code, d = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                if not np.array_equal(code, np.arange(done, done + len(code))) or (d > 254).any() or (d < -1).any():
+                    raise ValueError(f"codes or distances from {done} on are not as they should be")
+                out.write(np.where(d < 0, 255, d).astype(np.uint8).tobytes())
+                done += len(code)
+        if done != size:
+            raise ValueError(f"{done} of {size} states")
+        system.move(f"{at}.draft", at)
+        yield pa.RecordBatch.from_pydict({"n": [done]})
+
+    rows = ranked.select(F.col("code").cast("bigint"), F.coalesce(F.col("d").cast("int"), F.lit(-1))).repartition(1).sortWithinPartitions("code")
+    return rows.mapInArrow(run, "n bigint").first()[0]
+
+
 def write_table(df: DataFrame, path: str) -> DataFrame:
     """Writes a table that is not there yet (else it is an error) and reads it."""
     df.write.mode("error").parquet(path)
