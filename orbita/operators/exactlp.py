@@ -112,3 +112,20 @@ def keeps_bounds(bases: list, slopes: list[list], weights: list[Fraction], bound
     """Whether a mixture's base is below ``goal`` and no slope is above the bound."""
     mixed = lambda xs: sum((w * x for w, x in zip(weights, xs)), Fraction(0))
     return sum(weights) == 1 and min(weights) >= 0 and mixed(bases) < goal and all(mixed(row) <= bound for row in zip(*slopes))
+
+
+def generated(columns: list[tuple], bound, oracle) -> tuple[Optimum, list[tuple], int]:
+    """The best mixture of all columns ``(base, slopes)`` an ``oracle`` knows, from a pool that begins with ``columns`` (which must hold a mixture
+    within the bound): the pool's optimum prices the slopes, the oracle is asked for the column that is cheapest at these
+    prices, and joins the pool if it is cheaper than the mixture; else no column is, and the optimum holds for all of them.
+    The optimum, the pool and the number of rounds."""
+    pool, rounds = list(columns), 0
+    while True:
+        rounds += 1
+        rows = [list(x) for x in zip(*[s for _, s in pool])]
+        best = minimum([b for b, _ in pool], rows, [bound] * len(rows))
+        floor = best.value + sum((y * bound for y in best.duals), Fraction(0))
+        base, slopes = oracle(best.duals)
+        if base + sum((y * x for y, x in zip(best.duals, slopes)), Fraction(0)) >= floor:
+            return best, pool, rounds
+        pool.append((base, slopes))

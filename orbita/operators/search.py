@@ -155,16 +155,17 @@ def bounded_search(asked: DataFrame, patterns: DataFrame, m: int, r: int, labels
     return both.select("start", "bound", F.when(F.col("length").isNotNull(), "FOUND").otherwise("PROVED").alias("status"), "length", F.coalesce("states", F.lit(0)).alias("states"))
 
 
-def all_words(table: DataFrame, asked: DataFrame, m: int, r: int) -> DataFrame:
-    """``start, word``: every shortest word of the asked states (column ``p``), down a distance table (``p, d``), a letter a round."""
+def all_words(table: DataFrame, asked: DataFrame, m: int, r: int, slack: int = 0) -> DataFrame:
+    """``start, word``: every word of the asked states (column ``p``) that sorts them and is at most ``slack`` letters longer than a shortest one.
+    All go a letter a round together; what can't be sorted any more with the letters left, by the distance table (``p, d``), is dropped."""
     n = m + r
-    now = cut(asked.select(F.col("p").alias("start"), "p", F.lit("").alias("word")).join(table, "p"))
-    for _ in range(now.agg(F.max("d")).first()[0] or 0):
-        ways = now.where("d > 0").select("start", "word", (F.col("d") - 1).alias("d"), F.explode(F.array(*[F.struct(F.lit(x).alias("x"), q.alias("q")) for x, q in S.moves(F.col("p"), n)])).alias("s"))
-        down = ways.select("start", F.concat("word", "s.x").alias("word"), "d", F.col("s.q").alias("p")).join(table, ["p", "d"])
-        older, now = now, cut(now.where("d = 0").select("start", "p", "word", "d").unionByName(down.select("start", "p", "word", "d")))
-        free(older)
-    return now.select("start", "word")
+    now = cut(asked.select(F.col("p").alias("start"), "p", F.lit("").alias("word")).join(table, "p").withColumn("left", F.col("d") + slack))
+    found, rounds = now.where("d = 0").select("start", "word"), now.agg(F.max("left")).first()[0] or 0
+    for _ in range(rounds):
+        ways = now.where("left > 0").select("start", "word", (F.col("left") - 1).alias("left"), F.explode(F.array(*[F.struct(F.lit(x).alias("x"), q.alias("q")) for x, q in S.moves(F.col("p"), n)])).alias("s"))
+        now = cut(ways.select("start", F.concat("word", "s.x").alias("word"), "left", F.col("s.q").alias("p")).join(table, "p").where("d <= left").select("start", "p", "word", "d", "left"))
+        found = found.unionByName(now.where("d = 0").select("start", "word"))
+    return found
 
 
 def tree_leaves(trees: DataFrame, axes: int) -> DataFrame:

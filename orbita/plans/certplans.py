@@ -12,7 +12,7 @@ from orbita.functions import states as S
 from orbita.functions.runtime import table
 from orbita.operators import certificates as C
 from orbita.operators import distance as D
-from orbita.operators.exactlp import box_mixture, minimum
+from orbita.operators.exactlp import box_mixture, generated, minimum
 from orbita.operators.pricing import profile, word_profiles
 from orbita.plans.graphs import _features, _walk
 from orbita.plans.rollupplans import _PRICES, _fraction
@@ -272,3 +272,18 @@ def certificate_rollup(spark, sf):
         one = one.select(F.lit(m).alias("m"), "checks", "violations", "shortfall", F.lit(C.expected_checks(m)).cast("bigint").alias("expected"), F.when(F.col("violations") == 0, "PASS").otherwise("INVALID").alias("status"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(f"""WITH {_WORDS}, c AS ({_CORNERS}), u AS (SELECT id, arg_min({{'n': bn, 'd': d}}, bn / d) AS b FROM c WHERE sn <= s * d GROUP BY id) SELECT id, {_fraction('u.b.n', 'u.b.d')} AS objective, 'true' AS within_pool FROM u""")
+def generated_mixtures(spark, sf):
+    """The least base over all words of a family from a pool that starts with the flattest one and takes in what the prices ask for."""
+    def make(m, w):
+        words = [(x["base"], [x["slope"]]) for x in w]
+        flat = min(words, key=lambda x: (x[1], x[0]))
+        if flat[1][0] > m - 2:
+            return [None, None]
+        cheapest = lambda duals: min(words, key=lambda x: x[0] + duals[0] * x[1][0])
+        best, pool, rounds = generated([flat], m - 2, cheapest)
+        return [str(best.value), str(rounds <= len(words) and len(pool) == rounds).lower()]
+
+    return _per_family(_priced(spark, sf), "objective string, within_pool string", make).where("objective IS NOT NULL")

@@ -169,3 +169,12 @@ def zero_splices_4_1(spark, sf):
         low = (1 << (4 * j)) - 1
         out = F.when(F.col("j") == j, F.col("w").bitwiseAND(low).bitwiseOR(F.shiftleft(F.shiftright("w", 4 * (j + 1)), 4 * j))).otherwise(out)
     return rows.withColumn("back", out).select(_flat("p", 5).alias("u"), "j", _flat("w", 6).alias("inserted"), _flat("back", 5).alias("removed"))
+
+
+@query(f"""WITH RECURSIVE {_walk('12300', 10)}, ww(s, v, d, rest, word) AS (SELECT v, v, d, d + 2, '' FROM t UNION ALL SELECT s, t.v, t.d, rest - 1, word || x FROM (SELECT s, rest, word, unnest(['L', 'R', 'X']) AS x, unnest([v[2:5] || v[1:1], v[5:5] || v[1:4], v[2:2] || v[1:1] || v[3:5]]) AS u FROM ww WHERE rest > 0) q JOIN t ON t.v = q.u AND t.d <= q.rest - 1)
+  SELECT s AS v, CAST(length(word) AS INTEGER) AS length, count(*) AS words, min(word) AS first_word FROM ww WHERE d = 0 GROUP BY s, length(word)""")
+def words_with_slack_3_2(spark, sf):
+    """How many words sort each state with at most two letters more than needed, and the first of each length."""
+    t = D.distance_table(spark, 3, 2)
+    words = Q.all_words(t, t.select("p"), 3, 2, slack=2)
+    return words.groupBy("start", F.length("word").alias("length")).agg(F.count("*").alias("words"), F.min("word").alias("first_word")).select(_flat("start", 5).alias("v"), "length", "words", "first_word")
