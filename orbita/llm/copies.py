@@ -151,8 +151,8 @@ def possible_repeats(slices: Slices, kind: T.DataType) -> DataFrame:
     bits = max(1, rows * BITS_PER_ROW).bit_length()
     shift = bits - range_bits(rows, bits)
 
-    def keys_of(row: dict) -> list:
-        bit, counts, _, _ = _set_bits(row["keys"].as_py(), row["n"].as_py(), bits)
+    def keys_of(one: pa.RecordBatch) -> list:
+        bit, counts, _, _ = _set_bits(one.column("keys")[0].as_py(), one.column("n")[0].as_py(), bits)
         return [(0, bit, counts)]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

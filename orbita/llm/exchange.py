@@ -74,10 +74,10 @@ class Slices:
         return (self.rows if to is None else to).join(lists.hint("shuffle_hash"), "slice", "left")
 
 
-def ask(slices: DataFrame, keys_of: Callable[[dict], list], bits: int, total: int, merge: Callable[[list], list]) -> DataFrame:
+def ask(slices: DataFrame, keys_of: Callable[[pa.RecordBatch], list], bits: int, total: int, merge: Callable[[list], list]) -> DataFrame:
     """``slice, field, range, answer``: what ``merge`` makes of the keys all slices sent.
 
-    ``keys_of`` gives of a slice (its row as a dict of Arrow scalars' values) a list of ``(field, keys, counts)``
+    ``keys_of`` gives of a slice (a batch of its one row) a list of ``(field, keys, counts)``
     with sorted distinct keys below ``2**bits`` and how many records have each. ``total`` is about how many keys
     there are. ``merge`` gets what the slices sent for one range, a list of ``(keys, counts)``, and gives one
     uint8 array for each, as long as its keys. Answers are compressed; see :func:`answered`.
@@ -87,11 +87,12 @@ def ask(slices: DataFrame, keys_of: Callable[[dict], list], bits: int, total: in
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {c: batch.column(i)[k] for i, c in enumerate(batch.schema.names)}
+                one = batch.slice(k, 1)
+                own = one.column("slice")[0].as_py()
                 out: list[tuple] = []
-                for field, keys, counts in keys_of(row):
+                for field, keys, counts in keys_of(one):
                     for number, a, b in segments(keys, shift):
-                        out.append((row["slice"].as_py(), field, number, pack_sorted(keys[a:b]), pack_ints(counts[a:b])))
+                        out.append((own, field, number, pack_sorted(keys[a:b]), pack_ints(counts[a:b])))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["slice", "field", "range", "keys", "counts"])
 

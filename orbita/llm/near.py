@@ -294,8 +294,7 @@ class Near:
         shift = 48 - range_bits(total, 48)
         slices = self.slices.bring(self._places(searched), "who").where("who IS NOT NULL")
 
-        def send(row: dict) -> list:
-            batch = pa.RecordBatch.from_arrays([pa.array([v.as_py()], v.type) for v in row.values()], names=list(row))
+        def send(batch: pa.RecordBatch) -> list:
             held, out = Held.of(batch, 0, len(fields)), []
             for field in fields:
                 keys, counts = np.unique(held.chosen(field, _told(batch, "who", 0, field))[1], return_counts=True)
