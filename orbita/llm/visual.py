@@ -68,20 +68,21 @@ def confusable_letters(spark: SparkSession) -> dict[str, str]:
     Only single letters beyond ASCII with a single ASCII letter behind them are taken. The list puts ``I``, ``l`` and ``1``
     together, so capitals become I and others l. Left out are digits and signs (changed digits are a visible
     difference), those of NOT_ALIKE, letters that stand for two (the list takes m for rn), and jamo, which make up syllables.
+    Without that library, or where its answer isn't one form a letter, it is an error: fewer letters would miss pairs unseen.
     """
     letters = [chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lt", "Lo") and not 0x1100 <= c <= 0x11FF and not 0x3400 <= c <= 0x9FFF and not 0xAC00 <= c <= 0xD7A3]
     jvm = spark.sparkContext._jvm
     try:
         spoof = jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
-    except TypeError:  # another Spark without that library
-        return {}
+    except TypeError as error:  # py4j takes a class that isn't there for a package, which can't be called
+        raise RuntimeError("look-alike letters need the ICU library (icu4j, in Spark since 4.0) on the driver's class path") from error
     skeletons = lambda marks: spoof.getSkeleton("\n".join(marks)).split("\n")
     ascii_letters = [chr(c) for c in range(0x41, 0x7B) if chr(c).isalpha()]
     behind: dict[str, list] = {}
-    for letter, form in zip(ascii_letters, skeletons(ascii_letters)):
+    for letter, form in zip(ascii_letters, skeletons(ascii_letters), strict=True):
         behind.setdefault(form, []).append(letter)
     out = {}
-    for letter, form in zip(letters, skeletons(letters)):
+    for letter, form in zip(letters, skeletons(letters), strict=True):
         found = behind.get(form, [])
         if len(found) > 1:
             found = [x for x in found if x.isupper() == (unicodedata.category(letter) == "Lu")][:1]

@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+from unittest.mock import MagicMock
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from orbita.llm.exchange import Slices
 from orbita.llm.mixture import draw_mixture
 from orbita.llm.near import components, near_groups, near_pairs
 from orbita.llm.topn import top_n
-from orbita.llm.visual import look_alike_pairs, visual_form
+from orbita.llm.visual import confusable_letters, look_alike_pairs, visual_form
 
 
 def test_top_n(spark):
@@ -203,6 +204,25 @@ def test_visual_form(spark):
     assert pairs == want and look_alike_pairs(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_no_list_of_look_alikes_is_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "\u03b1b"), (2, "ab")], "doc_id bigint, text string")  # alpha is in the list, not among the fixed ones
+    assert [tuple(r) for r in look_alike_pairs(df, "doc_id", "text").collect()] == [(1, 2)]
+    jvm = spark.sparkContext._jvm
+    with monkeypatch.context() as without:
+        without.setattr(spark.sparkContext, "_jvm", jvm.absent)  # py4j finds no class of any name there
+        for call in (lambda: confusable_letters(spark), lambda: visual_form(df, "doc_id", "text"), lambda: look_alike_pairs(df.limit(0), "doc_id", "text")):
+            with pytest.raises(RuntimeError, match="ICU"):
+                call()
+
+
+def test_a_list_of_look_alikes_that_lost_a_line_is_an_error():
+    spark = MagicMock()
+    spoof = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder.return_value.build.return_value
+    spoof.getSkeleton = lambda lines: lines if lines.isascii() else lines[2:]
+    with pytest.raises(ValueError):
+        confusable_letters(spark)
+
+
 def test_a_large_class_of_equal_texts_gives_only_its_pairs(spark):
     same = spark.range(50_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 50_000, F.lit("\uff41 word")).otherwise(F.lit("a word")).alias("text"))
     assert look_alike_pairs(same, "doc_id", "text").agg(F.count("*"), F.min("doc_b"), F.max("doc_a")).first() == (50_000, 50_000, 49_999)
